@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework import dims
@@ -67,3 +67,15 @@ def content_score(error_kinds: Column, warning_kinds: Column, error_cases: Colum
         - F.when(error_cases > 1000, 10).otherwise(0)
     )
     return F.greatest(F.lit(0), F.least(F.lit(100), raw)).cast("int")
+
+
+def score_outcome(files: DataFrame, empty_code: str = "sin-datos") -> DataFrame:
+    """Final score of an audited table: clean is 100, no rows and no issues is 0."""
+    nothing = (F.coalesce("rows", F.lit(0)) == 0) & F.col("content_score").isNull()
+    return files.withColumns({
+        "rows": F.coalesce("rows", F.lit(0)),
+        "error_cells": F.coalesce("error_cells", F.lit(0)),
+        "score": F.when(nothing, 0).otherwise(F.coalesce("content_score", F.lit(100))).cast("int"),
+        "ok": F.when(nothing, False).otherwise(F.coalesce("analysis_ok", F.lit(True))),
+        "empty_code": F.when(nothing, empty_code),
+    }).drop("content_score", "analysis_ok")

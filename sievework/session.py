@@ -8,6 +8,7 @@ always the one the session names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +59,15 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to the shared folder and read back.
+
+    For results several jobs start from: columns are pruned on each read, and
+    nothing has to be recomputed when executors are lost.
+    """
+    spark = df.sparkSession
+    target = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.parquet(target)
