@@ -62,6 +62,24 @@ def number_within(
     return joined.withColumn(out, F.col(out) + F.col(_BASE)).drop(_BLOCK, _BASE)
 
 
+def running_sum(
+    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, width: int = BLOCK_WIDTH,
+) -> DataFrame:
+    """Inclusive running sum of ``value`` in each group, ordered by ``position``.
+
+    Same two levels as ``number_within``: inside blocks, plus the totals of
+    the earlier blocks of the group.
+    """
+    keys = list(keys)
+    blocked = df.withColumn(_BLOCK, block_of(F.col(position), width))
+    sums = blocked.groupBy(*keys, _BLOCK).agg(F.sum(value).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*keys, _BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_BASE))
+    inside = Window.partitionBy(*keys, _BLOCK).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    summed = blocked.withColumn(out, F.sum(value).over(inside))
+    return summed.join(bases, [*keys, _BLOCK]).withColumn(out, F.col(out) + F.col(_BASE)).drop(_BLOCK, _BASE)
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """Position of the first row of each group: a plain minimum, combined map-side."""
     return df.groupBy(*keys).agg(F.min(position).alias(position))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("report", "tabular", "catalog")
+MODULES = ("report", "tabular", "catalog", "documents")
 
 
 def load() -> tuple[dict, dict[str, str]]:
