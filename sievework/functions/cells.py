@@ -1,8 +1,8 @@
 """What one text cell is: strict type, numeric value, date value.
 
-Cells stay text; these expressions derive typed columns beside them.  The
-blank set is the Unicode one, hence the ``(?U)`` flag: Spark's ``trim`` only
-knows the ASCII space.
+Cells stay text; these expressions derive typed columns beside them.  Patterns
+run only behind cheap tests (length, first byte, presence of a comma), because
+typing is evaluated for every distinct value of a table.
 """
 
 from __future__ import annotations
@@ -12,49 +12,74 @@ from pyspark.sql import functions as F
 
 from sievework import dims
 
+# White space in the Unicode sense: Spark's ``trim`` only knows the space.
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(r"(?U)\S")
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def value_type(text: Column) -> Column:
-    """``empty``, ``bool``, ``number``, ``date`` or ``str``."""
-    v = strip(text)
+def _may_be_number(v: Column) -> Column:
+    """Starts with a digit, a sign, a dot or (harmlessly) ``/`` or ``,``."""
+    return F.ascii(v).between(43, 57)
+
+
+def _is_number(v: Column) -> Column:
+    return _may_be_number(v) & F.when(
+        v.contains(","), v.rlike(dims.DECIMAL_COMMA_PATTERN)).otherwise(v.rlike(dims.NUMBER_PATTERN))
+
+
+def stripped_type(v: Column) -> Column:
+    """Type of a text already stripped; null is ``empty``."""
     return (
-        F.when(is_blank(text), "empty")
-        .when(F.lower(v).isin("true", "false"), "bool")
-        .when(v.rlike(dims.NUMBER_PATTERN) | v.rlike(dims.DECIMAL_COMMA_PATTERN), "number")
-        .when(v.rlike(dims.ISO_DATE_PATTERN) & F.try_to_date(v, "yyyy-MM-dd").isNotNull(), "date")
+        F.when(v.isNull() | (v == ""), "empty")
+        .when(F.length(v).isin(4, 5) & F.lower(v).isin("true", "false"), "bool")
+        .when(_is_number(v), "number")
+        .when((F.length(v) == 10) & v.rlike(dims.ISO_DATE_PATTERN)
+              & F.try_to_date(v, "yyyy-MM-dd").isNotNull(), "date")
         .otherwise("str")
     )
 
 
+def value_type(text: Column) -> Column:
+    """``empty``, ``bool``, ``number``, ``date`` or ``str``."""
+    return stripped_type(strip(text))
+
+
+def stripped_number(v: Column) -> Column:
+    plain = F.when(v.contains(","), F.when(v.rlike(dims.DECIMAL_COMMA_PATTERN), F.translate(v, ",.", "."))).when(
+        v.rlike(dims.NUMBER_PATTERN), v)
+    number = F.when(_may_be_number(v), plain.try_cast("double"))
+    return F.when(~number.isin(float("inf"), float("-inf")), number)
+
+
 def to_number(text: Column) -> Column:
     """Double behind the two accepted spellings; anything else is null."""
-    v = strip(text)
-    comma = v.rlike(dims.DECIMAL_COMMA_PATTERN)
-    plain = F.when(comma, F.translate(v, ",.", ".")).when(v.rlike(dims.NUMBER_PATTERN), v)
-    number = plain.try_cast("double")
-    return F.when(~number.isin(float("inf"), float("-inf")), number)
+    return stripped_number(strip(text))
 
 
 def parse_date(text: Column) -> Column:
     """ISO first, then the day-first spellings, then ``Y/m/d``."""
-    v = strip(text)
+    return stripped_date(strip(text))
+
+
+def stripped_date(v: Column) -> Column:
     short = F.when(v.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"), F.try_to_date(v, "d/M/yy"))
     # Two-digit years from 69 on belong to the 1900s.
     short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
-    return F.coalesce(
+    day = F.coalesce(
         F.when(v.rlike(dims.ISO_DATE_PATTERN), F.try_to_date(v, "yyyy-MM-dd")),
         F.when(v.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(v, "d/M/yyyy")),
         F.when(v.rlike(r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"), F.try_to_date(v, "d-M-yyyy")),
         short,
         F.when(v.rlike(r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), F.try_to_date(v, "yyyy/M/d")),
     )
+    return F.when(F.length(v).between(6, 10) & F.ascii(v).between(48, 57), day)
 
 
 def cell_text(value: Column, kind: str = "scalar") -> Column:

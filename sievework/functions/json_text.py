@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.issues import lookup
 from sievework.functions.numbers import spanish_number
 
 # Search depth, and what joins repeated values.
@@ -31,15 +32,20 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+# First letters of a variant's type and what it is in JSON.
+_KINDS = {"OBJE": "object", "ARRA": "list", "STRI": "string", "BOOL": "bool", "VOID": "null",
+          "BIGI": "number", "DECI": "number", "DOUB": "number", "FLOA": "number"}
+
+
 def kind_of(variant: Column) -> Column:
     """object, list, string, bool, number or null."""
-    schema = F.schema_of_variant(variant)
-    return (
-        F.when(variant.isNull(), F.lit(None).cast("string"))
-        .when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "list")
-        .when(schema == "STRING", "string").when(schema == "BOOLEAN", "bool")
-        .when(schema == "VOID", "null").otherwise("number")
-    )
+    # One look-up rather than a chain of tests, each of which would walk the value.
+    return lookup(F.substring(F.schema_of_variant(variant), 1, 4), _KINDS)
+
+
+def member_kind(text: Column, variant: Column) -> Column:
+    """Kind of a member given its text: only what looks like structure is examined."""
+    return F.when(text.startswith("{") | text.startswith("["), kind_of(variant)).otherwise("scalar")
 
 
 def shape(text: Column) -> dict[str, Column]:
@@ -75,7 +81,7 @@ def _entries(text: Column, path: Column, order: Column) -> Column:
     members = F.arrays_zip(F.map_keys(raw).alias("k"), F.map_values(raw).alias("t"), F.map_values(typed).alias("v"))
     return F.transform(members, lambda m, i: F.struct(
         F.when(path == "", m["k"]).otherwise(F.concat(path, F.lit("."), m["k"])).alias("path"),
-        F.concat(order, F.array(i)).alias("order"), m["t"].alias("text"), kind_of(m["v"]).alias("kind")))
+        F.concat(order, F.array(i)).alias("order"), m["t"].alias("text"), member_kind(m["t"], m["v"]).alias("kind")))
 
 
 def members(node: Column) -> Column:
@@ -87,12 +93,12 @@ def members(node: Column) -> Column:
         F.arrays_zip(F.map_keys(raw).alias("k"), F.map_values(raw).alias("t"), F.map_values(typed).alias("v")),
         lambda m: F.struct(
             F.when(path == "", m["k"]).otherwise(F.concat(path, F.lit("."), m["k"])).alias("path"),
-            path.alias("parent"), m["k"].alias("name"), m["t"].alias("text"), kind_of(m["v"]).alias("kind")))
+            path.alias("parent"), m["k"].alias("name"), m["t"].alias("text"), member_kind(m["t"], m["v"]).alias("kind")))
     in_list = F.transform(
         F.arrays_zip(F.from_json(text, "array<string>").alias("t"), F.from_json(text, "array<variant>").alias("v")),
         lambda m, i: F.struct(
             F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), path.alias("parent"),
-            F.lit(None).cast("string").alias("name"), m["t"].alias("text"), kind_of(m["v"]).alias("kind")))
+            F.lit(None).cast("string").alias("name"), m["t"].alias("text"), member_kind(m["t"], m["v"]).alias("kind")))
     return F.when(is_list, in_list).otherwise(in_object)
 
 
@@ -121,15 +127,20 @@ def record_lists(df, text: str, out: str = "records"):
 
 
 def _starts_with_record(list_text: Column) -> Column:
-    first = F.get(F.from_json(list_text, "array<variant>"), F.lit(0))
-    return F.coalesce(kind_of(first).isin("object", "list"), F.lit(False))
+    """The first element of a list opens with a brace or bracket; text would open with a quote."""
+    return list_text.rlike(r"^\s*\[\s*[{\[]")
 
 
 def item_facts(items: Column) -> dict[str, Column]:
-    """Per record: its keys, and the text and kind of its first member."""
-    values = F.transform(items, lambda i: F.element_at(F.map_values(F.from_json(i, "map<string,string>")), 1))
-    kinds = F.transform(items, lambda i: kind_of(F.element_at(F.map_values(F.from_json(i, "map<string,variant>")), 1)))
-    return {"keys": F.transform(items, F.json_object_keys), "values": values, "kinds": kinds}
+    """Per record: its keys, and the text and kind of its first member.
+
+    Null unless the first record has a single key: only then can the records
+    share one, and nothing else needs these.
+    """
+    lone = F.when(F.size(F.json_object_keys(F.get(items, F.lit(0)))) == 1, items)
+    values = F.transform(lone, lambda i: F.get(F.map_values(F.from_json(i, "map<string,string>")), F.lit(0)))
+    kinds = F.transform(lone, lambda i: kind_of(F.get(F.map_values(F.from_json(i, "map<string,variant>")), F.lit(0))))
+    return {"keys": F.transform(lone, F.json_object_keys), "values": values, "kinds": kinds}
 
 
 def shared_key(keys: Column) -> Column:

@@ -43,7 +43,10 @@ def cell_defects(cells: DataFrame, stats: DataFrame, rows: DataFrame | None = No
         P.flags_missing(F.col("n_rows")).alias("check_missing"),
         *(["last_row"] if "last_row" in stats.columns else []),
     ).filter("check_type or check_missing")
-    kind = C.value_type(F.col("raw"))
+    # Typed below the join: a filter above it cannot be merged into the typing
+    # and make the patterns run several times.
+    cells = cells.withColumn("__v", C.strip(F.col("raw"))).withColumn("__kind", C.stripped_type(F.col("__v")))
+    kind = F.col("__kind")
     if columns is not None:
         joined = cells.join(F.broadcast(verdicts), list(P.KEY))
     else:

@@ -111,8 +111,8 @@ def positions(occurrences: DataFrame, file_id, code: str, offset: int = 0,
 
 def affected_columns(occurrences: DataFrame) -> DataFrame:
     """Columns of each issue with their number of cases."""
-    return occurrences.filter("col is not null").groupBy(*COLUMN_KEY).agg(
-        F.min("field").alias("field"), F.count(F.lit(1)).alias("cases"))
+    return occurrences.filter("col is not null").groupBy(*COLUMN_KEY, "field").agg(
+        F.count(F.lit(1)).alias("cases"))
 
 
 def compact_occurrences(occurrences: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:

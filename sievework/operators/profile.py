@@ -59,11 +59,11 @@ def table_cells(df: DataFrame, columns: dict[str, Column], row_no: Column | None
 def value_counts(cells: DataFrame) -> DataFrame:
     """Frequency of each distinct text per column, with its type and values."""
     counts = cells.groupBy(*KEY, "field", "raw").agg(F.count(F.lit(1)).alias("n"))
-    kind = C.value_type(F.col("raw"))
-    return counts.withColumn("kind", kind).withColumns({
-        "num": F.when(F.col("kind") == "number", C.to_number(F.col("raw"))),
-        "day": F.when(F.col("kind").isin("date", "str"), C.parse_date(F.col("raw"))),
-    })
+    kind = counts.withColumn("v", C.strip(F.col("raw"))).withColumn("kind", C.stripped_type(F.col("v")))
+    return kind.withColumns({
+        "num": F.when(F.col("kind") == "number", C.stripped_number(F.col("v"))),
+        "day": F.when(F.col("kind").isin("date", "str"), C.stripped_date(F.col("v"))),
+    }).drop("v")
 
 
 def column_stats(counts: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def column_stats(counts: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"n_{kind}")
 
     filled = F.col("kind") != "empty"
-    stats = counts.groupBy(*KEY).agg(
-        F.min("field").alias("field"),
+    # ``field`` goes with the key: text in an aggregation buffer would force a sort.
+    stats = counts.groupBy(*KEY, "field").agg(
         *[n_of(k) for k in (*TYPES, "empty")],
         F.count_if(filled).alias("distinct"),
         F.min("num").alias("min_num"), F.max("num").alias("max_num"),

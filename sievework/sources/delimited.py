@@ -37,7 +37,9 @@ def split_table(lines: DataFrame) -> DataFrame:
     lines of the file that come before it."""
     splits = lines.groupBy("file_id", "block_start").agg(
         F.min("line_id").alias("first_id"), F.count(F.lit(1)).alias("n"),
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        # A set of at most one mark: with it the whole aggregation is hashed, where
+        # the text of ``min_by`` alone would have every line sorted.
+        (F.size(F.collect_set(F.when(~F.is_valid_utf8("value"), True))) == 0).alias("utf8"),
         F.min_by("value", "line_id").alias("first_line"))
     before = Window.partitionBy("file_id").orderBy("block_start").rowsBetween(
         Window.unboundedPreceding, -1)
