@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions import cells as C
 from sievework.functions import issues as I
 from sievework.functions.encoding import detect_encoding
+from sievework.functions.numbers import round_half_up
 from sievework.functions.text import contains_text
 from sievework.operators import defects as DF
 from sievework.operators import issues as IO
@@ -140,9 +141,10 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("null_share", ORDERS_CELLS + "," + TYPED_SQL + f"""
-select file_id, sheet, avg({half_up('n_empty * 1.0::double / present', 4)}) as avg_null_pct from stats group by file_id, sheet""")
+select file_id, sheet, floor(avg({half_up('n_empty * 1.0::double / present', 4)}) * 1000000.0 + 0.5) / 1000000.0 as avg_null_pct from stats group by file_id, sheet""")
 def null_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.schema_null_pct(dirty_profile(spark, sf_dir))
+    shares = P.schema_null_pct(dirty_profile(spark, sf_dir))
+    return shares.withColumn("avg_null_pct", round_half_up(F.col("avg_null_pct"), 6))
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:

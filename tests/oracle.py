@@ -36,7 +36,7 @@ def connect(sf_dir: str):
 
 def norm(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+        return None if math.isnan(v) else (v if os.environ.get("ORACLE_EXACT") else round(v, 9))
     if isinstance(v, decimal.Decimal):
         return float(v)
     if isinstance(v, datetime.datetime):
