@@ -54,7 +54,7 @@ def is_utf8(content: Column) -> Column:
         tail = F.hex(F.substring(raw, -cut, cut))
         lead = tail.rlike({1: "^[C-F]", 2: "^[EF][0-9A-F][89AB]", 3: "^F[0-9A-F][89AB][0-9A-F][89AB]"}[cut])
         head = F.substr(raw, F.lit(1), size - cut).cast("string")
-        valid = valid | ((size > cut) & lead & F.is_valid_utf8(head))
+        valid = valid | ((size >= cut) & lead & F.is_valid_utf8(head))
     return valid
 
 

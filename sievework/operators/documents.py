@@ -145,13 +145,14 @@ def search_json(paths: DataFrame, needle: str) -> DataFrame:
 # --- GeoJSON -------------------------------------------------------------------
 def geojson_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Type, features, null geometries, verdict and score of each document."""
-    schema = "type STRING, features ARRAY<STRUCT<type: STRING, geometry: STRING>>"
+    # Features as text: one that is no object must not spoil the others.
+    schema = "type STRING, features ARRAY<STRING>"
     kind = J.kind_of(J.parse(F.col(text)))
     staged = docs.withColumns({"__kind": kind, "__g": F.from_json(F.when(kind == "object", F.col(text)), schema)})
     is_collection = F.col("__g.type") == "FeatureCollection"
     features = F.coalesce(F.size("__g.features"), F.lit(0))
     features = F.when(features < 0, 0).otherwise(features)
-    nulls = F.size(F.filter("__g.features", lambda f: f.isNull() | f["geometry"].isNull()))
+    nulls = F.size(F.filter("__g.features", lambda f: F.get_json_object(f, "$.geometry").isNull()))
     nulls = F.when(features > 0, nulls).otherwise(0)
     counted = staged.withColumns({
         "type": F.col("__g.type"),

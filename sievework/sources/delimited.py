@@ -114,6 +114,10 @@ def read_delimited(
 
     rows: (file_id, sheet, row_no, tokens, header) for every line after the
     first; headers: (file_id, sheet, header, sep, encoding), one per file.
+    The text reader drops a UTF-8 mark by itself; files in UTF-16 or UTF-32 are
+    recognised by theirs and named in ``headers``, but have to be converted
+    before they can be read by line.
+
     Encoding, delimiter and header ride on the split table, so the lines meet
     them in the same join that numbers them.
     """
