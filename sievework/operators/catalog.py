@@ -267,6 +267,6 @@ def sibling_services(files: DataFrame) -> DataFrame:
     from sievework.operators.groups import join_by_key
 
     is_service = F.col("format").isin(*dims.SERVICE_FORMATS)
-    per_dataset = files.groupBy("dataset_id").agg(F.count_if(is_service).alias("__s"))
-    joined = join_by_key(files, per_dataset, ["dataset_id"], "file_id", "inner")
+    per_dataset = files.groupBy("dataset_id").agg(F.count_if(is_service).alias("__s"), F.count(F.lit(1)).alias("n"))
+    joined = join_by_key(files, per_dataset.drop("n"), ["dataset_id"], "file_id", "inner", per_dataset)
     return joined.withColumn("sibling_services", F.col("__s") - is_service.cast("int")).drop("__s")

@@ -28,6 +28,30 @@ def block_of(position: Column, width: int = BLOCK_WIDTH) -> Column:
     return F.floor(position / F.lit(width)).cast("bigint")
 
 
+def _earlier_blocks(counts: DataFrame, keys: list[str], sparse: bool) -> DataFrame:
+    """Sum over the earlier blocks of the group: (keys, block, rows before).
+
+    Dense positions (row numbers, sequence ids) give few blocks, ordered in one
+    window per group.  With sparse ids a group may have about as many blocks as
+    rows, so the blocks are put into blocks themselves: two levels of a million
+    cover the whole range of a BIGINT with windows of a few million rows.
+    """
+    def before(*partition: str):
+        return Window.partitionBy(*partition)
+
+    if not sparse:
+        order = before(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.select(*keys, _BLOCK, F.coalesce(F.sum("__n").over(order), F.lit(0)).alias(_BASE))
+    upper = counts.withColumn("__upper", block_of(F.col(_BLOCK)))
+    totals = upper.groupBy(*keys, "__upper").agg(F.sum("__n").alias("__t"))
+    top = before(*keys).orderBy("__upper").rowsBetween(Window.unboundedPreceding, -1)
+    tops = totals.select(*keys, "__upper", F.coalesce(F.sum("__t").over(top), F.lit(0)).alias("__top"))
+    low = before(*keys, "__upper").orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    lows = upper.withColumn("__low", F.coalesce(F.sum("__n").over(low), F.lit(0)))
+    joined = _null_safe_join(lows, tops, [*keys, "__upper"], "inner")
+    return joined.select(*keys, _BLOCK, (F.col("__low") + F.col("__top")).alias(_BASE))
+
+
 def number_within(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,23 +59,20 @@ def number_within(
     out: str = "rn",
     width: int = BLOCK_WIDTH,
     nullable_keys: bool = False,
+    sparse: bool = False,
 ) -> DataFrame:
     """1-based rank of each row inside its group, ordered by ``position``.
 
     ``position`` must be an integer, unique within the group.  The rank is the
     rank inside the row's block plus the rows of the earlier blocks; only the
     block counts are ever ordered group-wide.  An empty ``keys`` numbers the
-    whole table.  Rows with a null key are lost unless ``nullable_keys``.
+    whole table.  Rows with a null key are lost unless ``nullable_keys``; say
+    ``sparse`` when positions are ids far apart rather than running numbers.
     """
     keys = list(keys)
     blocked = df.withColumn(_BLOCK, block_of(F.col(position), width))
     counts = blocked.groupBy(*keys, _BLOCK).agg(F.count(F.lit(1)).alias("__n"))
-    before = (
-        Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bases = counts.select(
-        *keys, _BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_BASE)
-    )
+    bases = _earlier_blocks(counts, keys, sparse)
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(position)
     ranked = blocked.withColumn(out, F.row_number().over(inside).cast("bigint"))
     # Plain equality reuses the window's partitioning; null keys need their own.
@@ -64,6 +85,7 @@ def number_within(
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, width: int = BLOCK_WIDTH,
+    sparse: bool = False,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in each group, ordered by ``position``.
 
@@ -73,8 +95,7 @@ def running_sum(
     keys = list(keys)
     blocked = df.withColumn(_BLOCK, block_of(F.col(position), width))
     sums = blocked.groupBy(*keys, _BLOCK).agg(F.sum(value).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(*keys, _BLOCK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(_BASE))
+    bases = _earlier_blocks(sums, keys, sparse)
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
     summed = blocked.withColumn(out, F.sum(value).over(inside))
     return summed.join(bases, [*keys, _BLOCK]).withColumn(out, F.col(out) + F.col(_BASE)).drop(_BLOCK, _BASE)
@@ -102,33 +123,36 @@ def join_by_key(
     keys: Sequence[str],
     row_id: str,
     how: str = "left",
+    counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     spread: int = HOT_SPREAD,
 ) -> DataFrame:
     """Join a large table to a table holding one row per key.
 
-    The hot keys are at most ``rows / hot_rows`` many, which bounds the
+    Keys shared by more than ``hot_rows`` rows are spread over ``spread``
+    tasks.  There are at most ``rows / hot_rows`` of them, which bounds the
     broadcast of their names; all other keys go through an ordinary join whose
     strategy Spark picks from its own size estimates.
+
+    ``counts`` (keys and ``n``) saves counting the rows of ``df`` when they, or
+    those of a cheaper table with at least as many rows per key, are known.
     """
     keys = list(keys)
-    hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias(_HOT))
-    )
+    counts = key_counts(df, keys) if counts is None else counts
+    hot = counts.filter(F.col("n") > hot_rows).select(*keys, F.lit(True).alias(_HOT))
+    spread_of = F.pmod(F.xxhash64(row_id), F.lit(spread)).cast("int")
     marked = df.join(F.broadcast(hot), keys, "left").withColumn(
-        _SALT,
-        F.when(F.col(_HOT), F.pmod(F.xxhash64(row_id), F.lit(spread)).cast("int")).otherwise(0),
-    ).drop(_HOT)
-    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn(
-        _SALT,
-        F.explode(
-            F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-        ),
-    ).drop(_HOT)
+        _SALT, F.when(F.col(_HOT), spread_of).otherwise(0)).drop(_HOT)
+    salts = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
+    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn(_SALT, F.explode(salts)).drop(_HOT)
     return marked.join(copies, [*keys, _SALT], how).drop(_SALT)
 
 
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per key as ``join_by_key`` takes them."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on keys that may be null, keeping one copy of each key column."""
     renamed = right.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import file_key
-from sievework.operators.groups import join_by_key, number_within
+from sievework.operators.groups import join_by_key, key_counts, number_within
 
 
 def match_files(catalog: DataFrame, results: DataFrame) -> DataFrame:
@@ -94,8 +94,8 @@ def reseed_plan(files: DataFrame, codes: Sequence[str]) -> DataFrame:
     or shares its address with another file.
     """
     with_url = files.filter(F.coalesce("url", F.lit("")) != "")
-    shared = with_url.groupBy("url").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    marked = join_by_key(files, shared, ["url"], "file_id", "left")
+    shared = key_counts(with_url, ["url"]).filter("n > 1")
+    marked = join_by_key(files, shared.select("url", F.col("n").alias("__n")), ["url"], "file_id", "left", shared)
     mine = F.coalesce(F.arrays_overlap("codes", F.array(*[F.lit(c) for c in codes])), F.lit(False))
     reason = (
         F.when(mine, "code").when(F.coalesce("url", F.lit("")) == "", "no_url")

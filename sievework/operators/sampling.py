@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.sniff import looks_like_html, service_exception
-from sievework.operators.groups import number_within
+from sievework.operators.groups import join_by_key, number_within
 
 # Verdict rules.
 DOWNLOAD_CAUSES = ("descarga", "archivo-vacio")
@@ -37,13 +37,13 @@ def stratified_sample(broken: DataFrame, size: int, cause: str = "cause", order:
     """Files picked at even steps along each cause, in report order.
 
     Ranks inside a cause come from blocks of ``order``, so a cause holding most
-    of the files is not sorted in one task; the plan (one row per cause of the
-    closed vocabulary) is broadcast.
+    of the files is neither sorted nor joined in one task.
     """
-    ranked = number_within(broken, [cause], order, "__rank")
+    ranked = number_within(broken, [cause], order, "__rank", sparse=True)
     plan = sample_plan(broken, size, cause)
+    counts = plan.select(cause, F.col("broken").alias("n"))
     at = F.col("__rank") - 1
-    return ranked.join(F.broadcast(plan), cause).filter(
+    return join_by_key(ranked, plan, [cause], order, "inner", counts).filter(
         (at % F.col("step") == 0) & (F.floor(at / F.col("step")) < F.col("allowed"))
     ).drop("__rank", "step", "picks", "allowed", "broken")
 

@@ -321,7 +321,8 @@ def two_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from sievework.operators.groups import join_by_key, number_within
 
     ds = star.datasets(spark, sf_dir).select("dataset_id", F.concat(F.lit("T"), "title").alias("title"), "category")
-    current = join_by_key(star.files(spark, sf_dir), ds, ["dataset_id"], "file_id", "inner")
+    current = join_by_key(star.files(spark, sf_dir), ds, ["dataset_id"], "file_id", "inner",
+                          star.files_per_dataset(spark, sf_dir))
     previous = current.filter("fetch_status <> 'unreachable' and category <> 'MACHINERY'").withColumn(
         "format", F.when(F.col("dataset_id") % 5 == 0, "TXT").otherwise(F.col("format")))
     renumbered = number_within(previous, ["dataset_id"], "idx", "pidx").withColumn(

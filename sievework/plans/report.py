@@ -250,7 +250,8 @@ select file_id, dataset_id, title, category, format, url, http_status, family, s
        array_to_string(cause_codes, ',') as cause_codes, error_issues
 from rows left join ds using (dataset_id)""")
 def file_issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = W.file_issue_rows(star.audited_files(spark, sf_dir), star.datasets(spark, sf_dir))
+    rows = W.file_issue_rows(star.audited_files(spark, sf_dir), star.datasets(spark, sf_dir),
+                             star.files_per_dataset(spark, sf_dir))
     return rows.select(
         "file_id", "dataset_id", "title", "category", "format", "url", "http_status", "family", "state",
         "cause_code", F.array_join("cause_codes", ",").alias("cause_codes"), "error_issues")
@@ -261,7 +262,8 @@ select file_id, format, cause_code from rows left join ds using (dataset_id)
 where family = 'contenido' and list_has_any(cause_codes, ['error-tipo', 'fila-vacia'])
   and contains(lower(concat_ws(' ', title, category, format, url)), 'household')""")
 def filtered_file_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = W.file_issue_rows(star.audited_files(spark, sf_dir), star.datasets(spark, sf_dir))
+    rows = W.file_issue_rows(star.audited_files(spark, sf_dir), star.datasets(spark, sf_dir),
+                             star.files_per_dataset(spark, sf_dir))
     return W.filter_file_issues(rows, family="contenido", causes=["error-tipo", "fila-vacia"],
                                 text="Household").select("file_id", "format", "cause_code")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievework import dims
 from sievework.functions import delivery as D
 from sievework.operators import files as files_op
-from sievework.operators.groups import number_within
+from sievework.operators.groups import key_counts, number_within
 
 FORMAT_EXPR = (
     "case o_orderkey % 7 when 0 then 'CSV' when 1 then 'JSON' when 2 then 'XLSX' "
@@ -76,10 +76,15 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File table with ``idx``, the 0-based position inside the dataset."""
-    numbered = number_within(raw_files(spark, sf_dir), ["dataset_id"], "file_id", "idx")
+    numbered = number_within(raw_files(spark, sf_dir), ["dataset_id"], "file_id", "idx", sparse=True)
     return numbered.withColumn("idx", (F.col("idx") - 1).cast("int"))
 
 
+def files_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per dataset, from one column of the file table."""
+    return key_counts(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("dataset_id")), ["dataset_id"])
+
+
 def content_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the analysers found: one row per (file, code)."""
     lines = table(spark, sf_dir, "lineitem").select(

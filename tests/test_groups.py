@@ -21,11 +21,19 @@ def test_number_within(spark):
     for key in {r[0] for r in rows}:
         for i, r in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1]), 1):
             want[r[1]] = i
-    for width in (1, 137, 1_000_000):
-        got = {r.pos: r.rn for r in G.number_within(df, ["k"], "pos", width=width).collect()}
+    for width, sparse in ((1, True), (137, False), (137, True), (1_000_000, False)):
+        got = {r.pos: r.rn for r in G.number_within(df, ["k"], "pos", width=width, sparse=sparse).collect()}
         assert got == want
 
 
+def test_sparse_positions(spark, monkeypatch):
+    monkeypatch.setattr(G, "BLOCK_WIDTH", 1_000_000)
+    ids = [3, 10**9 + 7, 5 * 10**12, 5 * 10**12 + 1, 9 * 10**18]
+    df = spark.createDataFrame([(i, "k") for i in ids], "pos bigint, k string")
+    got = {r.pos: r.rn for r in G.number_within(df, ["k"], "pos", sparse=True).collect()}
+    assert got == {p: i for i, p in enumerate(ids, 1)}
+
+
 def test_number_whole_table(spark):
     rows, df = skewed(spark)
     got = {r.pos: r.rn for r in G.number_within(df, [], "pos", width=500).collect()}
