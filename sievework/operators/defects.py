@@ -227,6 +227,26 @@ def audit_cells(cells: DataFrame, width: int = BLOCK_WIDTH) -> dict[str, DataFra
     }
 
 
+def audit_records(rows: DataFrame, width: int = BLOCK_WIDTH) -> dict[str, DataFrame]:
+    """Audit of JSON records as rows: typed checks only, their shape being no defect.
+
+    ``rows``: (file_id, row_no, header, tokens).
+    """
+    cells = rows.select(
+        "file_id", F.lit("").alias("sheet"), "row_no", "header", F.posexplode("tokens").alias("col", "raw")
+    ).filter(F.col("col") < F.size("header")).select(
+        "file_id", "sheet", "col", F.get(F.col("header"), F.col("col")).alias("field"), "row_no", "raw")
+    stats = P.column_stats(P.value_counts(cells))
+    row_counts = rows.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("row_no").alias("last_row")).withColumn("sheet", F.lit(""))
+    findings = cell_defects(cells, stats, row_counts, width=width)
+    issues = IO.from_occurrences(findings)
+    scores = row_counts.select("file_id", F.col("n_rows").alias("rows")).join(
+        IO.score_files(issues), "file_id", "left").join(error_cells(issues), "file_id", "left")
+    return {"profiles": P.column_profiles(stats, row_counts.drop("last_row")), "findings": findings,
+            "issues": issues, "files": score_outcome(scores)}
+
+
 def error_cells(issues: DataFrame) -> DataFrame:
     """Cells in error: wrong type plus missing."""
     cases = F.sum(F.when(F.col("code").isin("error-tipo", "celda-faltante"), F.col("count")).otherwise(0))

@@ -162,6 +162,33 @@ def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DO.record_tables(rows).select("file_id", "rows", "columns", "irregular_records")
 
 
+@register("json_audit", """
+with u as (select user_id, count(*) as n, count(*) filter (where event_type = 'error') as e,
+                  count(*) filter (where event_type = 'click') as c from events group by user_id),
+v as (select user_id as file_id, n as rows, c, e, n - c - e as num from u)
+select file_id, rows, num as numbers, c as empties,
+  cast(case when num + e >= 3 and num > e then e else 0 end as bigint) as type_errors,
+  cast(case when (num + e) * 1.0 / rows >= 0.5 then c else 0 end as bigint) as missing,
+  cast(100 - case when num + e >= 3 and num > e and e > 0 then 15 else 0 end
+       - case when (num + e) * 1.0 / rows >= 0.5 and c > 0 then 5 else 0 end as int) as score from v""")
+def json_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record table per user: numbers, some words in error events, some blanks."""
+    raw = F.expr("case event_type when 'error' then 'N/D' when 'click' then '' else cast(cast(value as decimal(18,2)) as string) end")
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file_id"), (F.col("event_id") + 2).alias("row_no"),
+        F.array(F.lit("value")).alias("header"), F.array(raw).alias("tokens"))
+    audit = DF.audit_records(rows)
+    found = audit["issues"].groupBy("file_id").agg(
+        F.sum(F.when(F.col("code") == "error-tipo", F.col("count")).otherwise(0)).alias("type_errors"),
+        F.sum(F.when(F.col("code") == "celda-faltante", F.col("count")).otherwise(0)).alias("missing"))
+    numbers = rows.groupBy("file_id").agg(
+        F.count_if(F.get("tokens", F.lit(0)).rlike("^[0-9.-]+$")).alias("numbers"),
+        F.count_if(F.get("tokens", F.lit(0)) == "").alias("empties"))
+    return audit["files"].join(numbers, "file_id").join(found, "file_id", "left").select(
+        "file_id", "rows", "numbers", "empties", F.coalesce("type_errors", F.lit(0).cast("bigint")).alias("type_errors"),
+        F.coalesce("missing", F.lit(0).cast("bigint")).alias("missing"), "score")
+
+
 @register("json_shapes", """
 select event_id as file_id, case when event_id % 5 in (1, 3) then 'list' else 'object' end as kind,
   cast(case when event_id % 5 in (1, 3) then 2 end as int) as elements,

@@ -386,3 +386,18 @@ def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\xFF]"))
     content = F.when(F.col("doc_id") % 3 == 2, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return docs.select("doc_id", detect_encoding(content).alias("encoding"))
+
+
+@register("quoted_records", """
+select doc_id, md5(replace(text, chr(13), chr(10))) as digest, cast(len(text) - len(replace(text, chr(10), '')) as int) as breaks from documents""")
+def quoted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as quoted cells with line breaks and read back whole."""
+    target = f"{checkpoint_dir(spark).rstrip('/')}/quoted-{uuid.uuid4().hex}"
+    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(";", F.col("doc_id").cast("string"), quoted).alias("value"))
+    docs.write.text(target)
+    records = DL.read_records(spark, target)
+    text = F.get("tokens", F.lit(1))
+    return records.select(
+        F.get("tokens", F.lit(0)).cast("bigint").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("breaks"))

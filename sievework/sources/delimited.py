@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.encoding import bom_encoding, decode_cp1252, is_cp1252, strip_bom
+from sievework.operators.groups import join_by_key
 
 # Candidate delimiters in order of preference.
 DELIMITERS = (";", ",", "\t", "|")
@@ -65,9 +66,13 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def cell_pattern(sep: Column) -> Column:
-    """Regular expression of one cell after its delimiter."""
+    """Regular expression of one cell after its delimiter.
+
+    Loops over groups are possessive: the engine runs those without recursion,
+    so a cell may be of any length.
+    """
     s = F.concat(F.lit("["), sep, F.lit("]"))
-    quoted = F.lit('((?:"(?:[^"]|"")*")?[^')
+    quoted = F.lit('((?:"(?:[^"]++|"")*+")?[^')
     return F.concat(s, quoted, sep, F.lit("]*)"))
 
 
@@ -77,9 +82,9 @@ def split_cells(line: Column, sep: Column | str) -> Column:
     parts = F.regexp_extract_all(F.concat(sep, line), cell_pattern(sep), F.lit(1))
 
     def unquote(cell: Column) -> Column:
-        inner = F.replace(F.regexp_extract(cell, r'^"((?:[^"]|"")*)"', 1), F.lit('""'), F.lit('"'))
-        rest = F.regexp_extract(cell, r'^"(?:[^"]|"")*"(.*)$', 1)
-        return F.when(cell.startswith('"') & cell.rlike(r'^"(?:[^"]|"")*"'),
+        inner = F.replace(F.regexp_extract(cell, r'^"((?:[^"]++|"")*+)"', 1), F.lit('""'), F.lit('"'))
+        rest = F.regexp_extract(cell, r'(?s)^"(?:[^"]++|"")*+"(.*)$', 1)
+        return F.when(cell.startswith('"') & cell.rlike(r'^"(?:[^"]++|"")*+"'),
                       F.concat(inner, rest)).otherwise(cell)
 
     return F.when(line.contains('"'), F.transform(parts, unquote)).otherwise(parts)
@@ -107,25 +112,107 @@ def guess_delimiters(lines: DataFrame, order: tuple[str, ...] = ("row_no",)) ->
     return best.select("file_id", F.get(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("rank")).alias("sep"))
 
 
+MAX_RECORD_LINES = 10_000
+
+
+def _quote_transition(line: Column, sep: Column) -> tuple[Column, Column]:
+    """Is a quoted cell open after the line, if none / one was open before it?"""
+    other = F.concat(F.lit("[^"), sep, F.lit("]"))
+    field = F.concat(F.lit('(?:"(?:[^"]++|"")*+"'), other, F.lit('*+|[^"'), sep, F.lit("]"), other, F.lit("*+|)"))
+    opened = F.concat(F.lit("(?:"), field, F.lit("["), sep, F.lit('])*+"(?:[^"]++|"")*+$'))
+    from_outside = F.regexp_like(line, F.concat(F.lit("(?s)^"), opened))
+    stays = F.regexp_like(line, F.lit('(?s)^(?:[^"]++|"")*+$'))
+    reopens = F.regexp_like(line, F.concat(F.lit('(?s)^(?:[^"]++|"")*+"'), other, F.lit("*+["), sep, F.lit("]"), opened))
+    quoted = line.contains('"')
+    return (F.when(quoted, from_outside).otherwise(False), F.when(quoted, stays | reopens).otherwise(True))
+
+
+def join_quoted_lines(placed: DataFrame, max_lines: int = MAX_RECORD_LINES) -> DataFrame:
+    """Lines of one record joined by line feeds; ``row_no`` is the first of them.
+
+    Whether a line starts inside a quoted cell follows from the lines before
+    it: each either fixes the answer, keeps it or flips it.  Those effects are
+    composed inside each input split and then across the splits of a file, so
+    no file is read in one task.  A record longer than ``max_lines`` is an
+    unclosed quote: its lines stay rows of their own.
+    """
+    after0, after1 = _quote_transition(F.col("value"), F.col("sep"))
+    flagged = placed.withColumns({"a0": after0, "a1": after1}).withColumns({
+        "fixes": F.when(F.col("a0") == F.col("a1"), F.col("a0")),
+        "flips": F.when(F.col("a0") & ~F.col("a1"), 1).otherwise(0)})
+    split = Window.partitionBy("file_id", "block_start").orderBy("line_id")
+    before = split.rowsBetween(Window.unboundedPreceding, -1)
+    counted = flagged.withColumn("f", F.coalesce(F.sum("flips").over(before), F.lit(0)))
+    mark = F.when(F.col("fixes").isNotNull(), F.struct(F.col("fixes").alias("v"), F.col("f").alias("f")))
+    known = counted.withColumns({"m": mark, "last": F.last(mark, ignorenulls=True).over(before)})
+
+    def state(start: Column, fixed: Column, flips: Column) -> Column:
+        base = F.when(fixed.isNotNull(), fixed["v"]).otherwise(start)
+        odd = (flips - F.coalesce(fixed["f"], F.lit(0))) % 2 == 1
+        return base != odd
+
+    # Effect of a whole split, from its last line.
+    ends = known.groupBy("file_id", "block_start").agg(
+        F.max_by(F.struct(F.coalesce("m", "last").alias("fixed"), (F.col("f") + F.col("flips")).alias("flips")),
+                 "line_id").alias("e"))
+    earlier = Window.partitionBy("file_id").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    effect = ends.select(
+        "file_id", "block_start",
+        F.when(F.col("e.fixed").isNotNull(), state(F.lit(False), F.col("e.fixed"), F.col("e.flips"))).alias("fixes"),
+        F.when(F.col("e.fixed").isNull(), F.col("e.flips") % 2).otherwise(0).alias("flips"),
+    ).withColumn("f", F.coalesce(F.sum("flips").over(earlier), F.lit(0)))
+    split_mark = F.when(F.col("fixes").isNotNull(), F.struct(F.col("fixes").alias("v"), F.col("f").alias("f")))
+    starts = effect.withColumn("last", F.last(split_mark, ignorenulls=True).over(earlier)).select(
+        "file_id", "block_start", state(F.lit(False), F.col("last"), F.col("f")).alias("open"))
+    lines = known.join(starts, ["file_id", "block_start"]).withColumn(
+        "inside", state(F.col("open"), F.col("last"), F.col("f"))).select(
+        "file_id", "block_start", "line_id", "row_no", "value", "sheet", "header", "sep", "encoding", "inside")
+    # First row of each record: the last line outside quotes up to here.
+    start_row = F.when(~F.col("inside"), F.col("row_no"))
+    upto = split.rowsBetween(Window.unboundedPreceding, 0)
+    local = lines.withColumn("first", F.last(start_row, ignorenulls=True).over(upto))
+    carried = lines.groupBy("file_id", "block_start").agg(F.max(start_row).alias("r"))
+    carry = carried.select("file_id", "block_start", F.max("r").over(earlier).alias("carried"))
+    based = local.join(carry, ["file_id", "block_start"]).withColumn("first", F.coalesce("first", "carried", "row_no"))
+    inner = based.filter("inside").groupBy("file_id", F.col("first").alias("row_no")).agg(F.count(F.lit(1)).alias("n"))
+    # Only continued records are gathered; all other lines pass as they are.
+    runaway = inner.filter(F.col("n") >= max_lines).select("file_id", F.col("row_no").alias("first"), F.lit(True).alias("runaway"))
+    continued = inner.filter(F.col("n") < max_lines).select("file_id", "row_no", F.lit(True).alias("continued"))
+    keep = ["file_id", "sheet", "row_no", "value", "header", "sep", "encoding"]
+    heads = based.filter("not inside").join(continued, ["file_id", "row_no"], "left")
+    tails = join_by_key(based.filter("inside"), runaway, ["file_id", "first"], "row_no", "left",
+                        inner.select("file_id", F.col("row_no").alias("first"), "n"))
+    parts = heads.filter("continued").select(*keep, F.col("row_no").alias("first")).unionByName(
+        tails.filter("runaway is null").select(*keep, "first"))
+    joined = parts.groupBy("file_id", "sheet", "header", "sep", "encoding", F.col("first").alias("row_no")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "value"))), lambda p: p["value"]),
+                     "\n").alias("value"))
+    return (
+        heads.filter("continued is null").select(*keep)
+        .unionByName(tails.filter("runaway").select(*keep)).unionByName(joined.select(*keep))
+    )
+
+
 def read_delimited(
     spark: SparkSession, path: str | list[str], sep: str | None = None, encoding: str | None = None,
+    multiline: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, headers) of delimited files.
 
     rows: (file_id, sheet, row_no, tokens, header) for every line after the
     first; headers: (file_id, sheet, header, sep, encoding), one per file.
-    The text reader drops a UTF-8 mark by itself; files in UTF-16 or UTF-32 are
-    recognised by theirs and named in ``headers``, but have to be converted
-    before they can be read by line.
+    With ``multiline`` a quoted cell may run over several lines (the header
+    line may not).  The text reader drops a UTF-8 mark by itself; files in
+    UTF-16 or UTF-32 are recognised by theirs and named in ``headers``, but
+    have to be converted before they can be read by line.
 
     Encoding, delimiter and header ride on the split table, so the lines meet
     them in the same join that numbers them.
     """
     lines = raw_lines(spark, path)
     splits = split_table(lines)
-    by_start = F.col("block_start")
     files = splits.groupBy("file_id").agg(
-        F.min_by("first_line", by_start).alias("first_line"), F.bool_and("utf8").alias("utf8"))
+        F.min_by("first_line", F.col("block_start")).alias("first_line"), F.bool_and("utf8").alias("utf8"))
     found = F.coalesce(bom_encoding(F.col("first_line")), F.when(F.col("utf8"), "utf-8").otherwise("cp1252"))
     files = files.withColumn("encoding", F.lit(encoding) if encoding else found)
     if sep is None:
@@ -141,11 +228,22 @@ def read_delimited(
         "file_id", F.lit("").alias("sheet"),
         split_cells(strip_bom(text(F.col("first_line"))), F.col("sep")).alias("header"), "sep", "encoding")
     placed = place_lines(lines, splits.drop("n", "utf8", "first_line").join(headers, "file_id"))
+    if multiline:
+        placed = join_quoted_lines(placed)
     rows = placed.filter("row_no > 1").select(
         "file_id", "sheet", "row_no", split_cells(text(F.col("value")), F.col("sep")).alias("tokens"), "header")
     return rows, headers
 
 
+def read_records(spark: SparkSession, path: str | list[str], sep: str = ";") -> DataFrame:
+    """(file_id, row_no, tokens) of files without a header; quoted cells may span lines."""
+    lines = raw_lines(spark, path)
+    splits = split_table(lines).drop("n", "utf8", "first_line").withColumns({
+        "sheet": F.lit(""), "header": F.array().cast("array<string>"), "sep": F.lit(sep), "encoding": F.lit("utf-8")})
+    records = join_quoted_lines(place_lines(lines, splits))
+    return records.select("file_id", "row_no", split_cells(F.col("value"), sep).alias("tokens"))
+
+
 def scan_text(lines: DataFrame) -> DataFrame:
     """Plain text: is it a table in disguise, and how many lines carry text?
 

@@ -1,3 +1,7 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +159,49 @@ def test_sample_rows(spark):
     rows = spark.range(2, 500).select(F.lit("f").alias("file_id"), F.col("id").alias("row_no"), F.array(F.repeat(F.lit("x"), F.lit(1500))).alias("tokens"))
     kept = P.sample_rows(rows)
     assert kept.count() == 200 and len(kept.first().tokens[0]) == 1000
+
+
+def records_of(text, sep=";"):
+    """First physical row and cells of each record, by the standard reader."""
+    reader, out, last = csv.reader(io.StringIO(text, newline=""), delimiter=sep), [], 0
+    for record in reader:
+        out.append((last + 1, record or [""]))
+        last = reader.line_num
+    return out
+
+
+def test_quoted_line_breaks(spark, tmp_path):
+    rnd = random.Random(5)
+    cells = ['a', '', '"q"', '"x;y"', '"one\ntwo"', '"a""\n\n""b;"', '5" pipe', '"t"ail', '"\n"', 'z"z', '""']
+    text = "h1;h2;h3\n" + "".join(";".join(rnd.choice(cells) for _ in range(3)) + "\n" for _ in range(400))
+    write(tmp_path, "m.csv", text)
+    want = {row: tokens for row, tokens in records_of(text)[1:]}
+    for size in (None, "700"):
+        if size:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            rows, _headers = DL.read_delimited(spark, str(tmp_path), sep=";", multiline=True)
+            got = {r.row_no: r.tokens for r in rows.collect()}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == want
+
+
+def test_unclosed_quote_does_not_swallow_the_file(spark, tmp_path):
+    write(tmp_path, "u.csv", "a;b\n1;2\n3;\"open\n" + "".join(f"{i};x\n" for i in range(50)))
+    rows = DL.join_quoted_lines(
+        DL.place_lines(DL.raw_lines(spark, str(tmp_path)), DL.split_table(DL.raw_lines(spark, str(tmp_path))).drop("n", "utf8", "first_line")
+                       .selectExpr("*", "'' as sheet", "array('a','b') as header", "';' as sep", "'utf-8' as encoding")), max_lines=20)
+    assert rows.count() == 53 and rows.select("row_no").distinct().count() == 53
+
+
+def test_cells_of_any_length(spark, tmp_path):
+    big = ("x" * 50 + '""' + ";") * 40_000
+    write(tmp_path, "big.csv", f'a;b\n1;"{big}"\n2;"{big}\n{big}"\n' + "3;" + "1.234" * 60_000 + "\n")
+    rows, headers = DL.read_delimited(spark, str(tmp_path), sep=";", multiline=True)
+    sizes = {r.row_no: r.n for r in rows.select("row_no", F.length(F.get("tokens", F.lit(1))).alias("n")).collect()}
+    one = len(big) - 40_000
+    assert sizes == {2: one, 3: 2 * one + 1, 5: 300_000}
+    assert DF.audit_rows(rows, headers)["findings"].count() == 0

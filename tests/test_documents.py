@@ -152,3 +152,9 @@ def test_rings_leading_hole(spark):
     rings = spark.createDataFrame(rows, "shape_id string, ring_no bigint, area double, n_points int")
     got = [(r.ring_no, r.polygon, r.is_hole) for r in DO.rings_to_polygons(rings).orderBy("ring_no").collect()]
     assert got == [(0, 1, False), (1, 1, True), (2, 2, False), (4, 2, True)]
+
+
+def test_large_archives(spark):
+    whole = b"PK\x03\x04" + b"\x50" * 300_000 + archive(["a.shp"])
+    df = spark.createDataFrame([(0, bytearray(whole)), (1, bytearray(whole[:-40]))], "i int, b binary")
+    assert [r.x for r in df.orderBy("i").select(SN.is_truncated_zip(F.col("b")).alias("x")).collect()] == [False, True]
