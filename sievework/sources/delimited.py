@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.encoding import bom_encoding, decode_cp1252, is_cp1252, strip_bom
 from sievework.operators.groups import join_by_key
+from sievework.session import written_table
 
 # Candidate delimiters in order of preference.
 DELIMITERS = (";", ",", "\t", "|")
@@ -131,10 +132,14 @@ def join_quoted_lines(placed: DataFrame, max_lines: int = MAX_RECORD_LINES) -> D
     """Lines of one record joined by line feeds; ``row_no`` is the first of them.
 
     Whether a line starts inside a quoted cell follows from the lines before
-    it: each either fixes the answer, keeps it or flips it.  Those effects are
-    composed inside each input split and then across the splits of a file, so
-    no file is read in one task.  A record longer than ``max_lines`` is an
-    unclosed quote: its lines stay rows of their own.
+    it: each either fixes the answer, keeps it or flips it.  Inside an input
+    split both answers are worked out in one window pass, for a split that
+    starts outside and for one that starts inside a cell; which of the two
+    holds is settled on the table of splits.  So no file is read in one task.
+    The flagged lines are written once, everything else starts from there.
+
+    A record longer than ``max_lines`` is an unclosed quote: its lines stay
+    rows of their own.
     """
     after0, after1 = _quote_transition(F.col("value"), F.col("sep"))
     flagged = placed.withColumns({"a0": after0, "a1": after1}).withColumns({
@@ -142,54 +147,54 @@ def join_quoted_lines(placed: DataFrame, max_lines: int = MAX_RECORD_LINES) -> D
         "flips": F.when(F.col("a0") & ~F.col("a1"), 1).otherwise(0)})
     split = Window.partitionBy("file_id", "block_start").orderBy("line_id")
     before = split.rowsBetween(Window.unboundedPreceding, -1)
+    upto = split.rowsBetween(Window.unboundedPreceding, 0)
     counted = flagged.withColumn("f", F.coalesce(F.sum("flips").over(before), F.lit(0)))
     mark = F.when(F.col("fixes").isNotNull(), F.struct(F.col("fixes").alias("v"), F.col("f").alias("f")))
-    known = counted.withColumns({"m": mark, "last": F.last(mark, ignorenulls=True).over(before)})
-
-    def state(start: Column, fixed: Column, flips: Column) -> Column:
-        base = F.when(fixed.isNotNull(), fixed["v"]).otherwise(start)
-        odd = (flips - F.coalesce(fixed["f"], F.lit(0))) % 2 == 1
-        return base != odd
-
-    # Effect of a whole split, from its last line.
-    ends = known.groupBy("file_id", "block_start").agg(
-        F.max_by(F.struct(F.coalesce("m", "last").alias("fixed"), (F.col("f") + F.col("flips")).alias("flips")),
-                 "line_id").alias("e"))
+    known = counted.withColumn("last", F.last(mark, ignorenulls=True).over(before))
+    fixed, since = F.col("last"), F.col("f") - F.coalesce(F.col("last.f"), F.lit(0))
+    both = known.withColumns({
+        f"in{i}": F.when(fixed.isNotNull(), fixed["v"]).otherwise(F.lit(bool(i))) != (since % 2 == 1) for i in (0, 1)})
+    both = both.withColumns({
+        # First row of the record: the last line outside quotes up to here.
+        f"first{i}": F.last(F.when(~F.col(f"in{i}"), F.col("row_no")), ignorenulls=True).over(upto) for i in (0, 1)})
+    text = ["file_id", "sheet", "row_no", "value", "header", "sep", "encoding"]
+    lines = written_table(both.withColumns({
+        f"out{i}": F.when(F.col(f"in{i}"), F.col("a1")).otherwise(F.col("a0")) for i in (0, 1)
+    }).select(*text, "block_start", "line_id", "in0", "in1", "first0", "first1", "out0", "out1"), "quoted-lines")
+
+    # How a split ends for either start, and the last record it opens.
+    ends = lines.groupBy("file_id", "block_start").agg(
+        F.max_by(F.struct("out0", "out1"), "line_id").alias("e"), F.max("first0").alias("r0"), F.max("first1").alias("r1"))
     earlier = Window.partitionBy("file_id").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    effect = ends.select(
-        "file_id", "block_start",
-        F.when(F.col("e.fixed").isNotNull(), state(F.lit(False), F.col("e.fixed"), F.col("e.flips"))).alias("fixes"),
-        F.when(F.col("e.fixed").isNull(), F.col("e.flips") % 2).otherwise(0).alias("flips"),
-    ).withColumn("f", F.coalesce(F.sum("flips").over(earlier), F.lit(0)))
-    split_mark = F.when(F.col("fixes").isNotNull(), F.struct(F.col("fixes").alias("v"), F.col("f").alias("f")))
-    starts = effect.withColumn("last", F.last(split_mark, ignorenulls=True).over(earlier)).select(
-        "file_id", "block_start", state(F.lit(False), F.col("last"), F.col("f")).alias("open"))
-    lines = known.join(starts, ["file_id", "block_start"]).withColumn(
-        "inside", state(F.col("open"), F.col("last"), F.col("f"))).select(
-        "file_id", "block_start", "line_id", "row_no", "value", "sheet", "header", "sep", "encoding", "inside")
-    # First row of each record: the last line outside quotes up to here.
-    start_row = F.when(~F.col("inside"), F.col("row_no"))
-    upto = split.rowsBetween(Window.unboundedPreceding, 0)
-    local = lines.withColumn("first", F.last(start_row, ignorenulls=True).over(upto))
-    carried = lines.groupBy("file_id", "block_start").agg(F.max(start_row).alias("r"))
-    carry = carried.select("file_id", "block_start", F.max("r").over(earlier).alias("carried"))
-    based = local.join(carry, ["file_id", "block_start"]).withColumn("first", F.coalesce("first", "carried", "row_no"))
-    inner = based.filter("inside").groupBy("file_id", F.col("first").alias("row_no")).agg(F.count(F.lit(1)).alias("n"))
+    effect = ends.withColumns({
+        "fixes": F.when(F.col("e.out0") == F.col("e.out1"), F.col("e.out0")),
+        "flips": F.when(F.col("e.out0") & ~F.col("e.out1"), 1).otherwise(0)})
+    effect = effect.withColumn("f", F.coalesce(F.sum("flips").over(earlier), F.lit(0)))
+    effect = effect.withColumn("last", F.last(mark, ignorenulls=True).over(earlier))
+    opened = F.coalesce(F.col("last.v"), F.lit(False)) != (since % 2 == 1)
+    settled = effect.withColumn("open", opened)
+    splits = settled.withColumn("r", F.when(F.col("open"), F.col("r1")).otherwise(F.col("r0"))).select(
+        "file_id", "block_start", "open", F.max("r").over(earlier).alias("carried"))
+
+    based = lines.join(splits, ["file_id", "block_start"]).withColumns({
+        "inside": F.when(F.col("open"), F.col("in1")).otherwise(F.col("in0")),
+        "first": F.coalesce(F.when(F.col("open"), F.col("first1")).otherwise(F.col("first0")), "carried", "row_no"),
+    }).select(*text, "inside", "first")
+    inner = based.filter("inside").groupBy("file_id", "first").agg(F.count(F.lit(1)).alias("n"))
     # Only continued records are gathered; all other lines pass as they are.
-    runaway = inner.filter(F.col("n") >= max_lines).select("file_id", F.col("row_no").alias("first"), F.lit(True).alias("runaway"))
-    continued = inner.filter(F.col("n") < max_lines).select("file_id", "row_no", F.lit(True).alias("continued"))
-    keep = ["file_id", "sheet", "row_no", "value", "header", "sep", "encoding"]
+    runaway = inner.filter(F.col("n") >= max_lines).select("file_id", "first", F.lit(True).alias("runaway"))
+    continued = inner.filter(F.col("n") < max_lines).select(
+        "file_id", F.col("first").alias("row_no"), F.lit(True).alias("continued"))
     heads = based.filter("not inside").join(continued, ["file_id", "row_no"], "left")
-    tails = join_by_key(based.filter("inside"), runaway, ["file_id", "first"], "row_no", "left",
-                        inner.select("file_id", F.col("row_no").alias("first"), "n"))
-    parts = heads.filter("continued").select(*keep, F.col("row_no").alias("first")).unionByName(
-        tails.filter("runaway is null").select(*keep, "first"))
+    tails = join_by_key(based.filter("inside"), runaway, ["file_id", "first"], "row_no", "left", inner)
+    parts = heads.filter("continued").select(*text, F.col("row_no").alias("first")).unionByName(
+        tails.filter("runaway is null").select(*text, "first"))
     joined = parts.groupBy("file_id", "sheet", "header", "sep", "encoding", F.col("first").alias("row_no")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "value"))), lambda p: p["value"]),
                      "\n").alias("value"))
     return (
-        heads.filter("continued is null").select(*keep)
-        .unionByName(tails.filter("runaway").select(*keep)).unionByName(joined.select(*keep))
+        heads.filter("continued is null").select(*text)
+        .unionByName(tails.filter("runaway").select(*text)).unionByName(joined.select(*text))
     )
 
 
