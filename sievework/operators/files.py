@@ -93,6 +93,12 @@ def is_effectively_empty(length, content):
     return (length == 0) | ((length <= 64) & F.coalesce(blank, F.lit(False)))
 
 
+def unknown_statuses(files: DataFrame) -> DataFrame:
+    """Rows of a fetch log whose status is none of the eight known ones."""
+    known = F.col("fetch_status").isin(*dims.FETCH_STATUSES)
+    return files.filter(~F.coalesce(known, F.lit(False)))
+
+
 def delivery_summary(files: DataFrame) -> DataFrame:
     """Counts per state, percentages and affected datasets, as one row."""
     def n(state: str):

@@ -115,6 +115,22 @@ def affected_columns(occurrences: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cases"))
 
 
+def issue_detail(issues: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """Issues with where they are: columns affected (most cases first) and positions.
+
+    Occurrences are counted per column before they meet the issues; the list
+    is as long as the file has columns.
+    """
+    per_column = occurrences.groupBy(*COLUMN_KEY, "field").agg(F.count(F.lit(1)).alias("cases"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("col").isNotNull(), F.struct(
+        (-F.col("cases")).alias("neg"), "sheet", "col", "field"))))
+    per_issue = per_column.groupBy(*ISSUE_KEY).agg(F.sum("cases").alias("positions"), listed.alias("__c"))
+    columns = F.transform("__c", lambda c: F.struct(
+        c["sheet"].alias("sheet"), c["col"].alias("col"), c["field"].alias("field"), (-c["neg"]).alias("cases")))
+    return issues.join(per_issue, list(ISSUE_KEY), "left").withColumns({
+        "positions": F.coalesce("positions", F.lit(0).cast("bigint")), "columns": columns}).drop("__c")
+
+
 def compact_occurrences(occurrences: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     """Delta-coded rows per column group, in chunks of at most ``width`` rows.
 

@@ -496,3 +496,9 @@ select doc_id from documents where contains(strip_accents(lower(text)), 'eaux')
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.filter(T.matches_query(F.col("text"), "ÈRE éaux")).select("doc_id")
+
+
+@register("empty_payloads", "select page_id, page_id % 8 = 4 as empty from pages")
+def empty_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which payloads hold nothing at all."""
+    return arrivals.audit_payloads(payloads(spark, sf_dir)).select("page_id", "empty")

@@ -499,3 +499,60 @@ def note_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(" "), "fetch_status"))
     coded, _notes = W.dictionary_encode(noted, "note", "file_id")
     return coded.select("file_id", "note_id")
+
+
+@register("fetch_issues", f"""
+with r as (select o_orderkey as file_id, {star.FETCH_EXPR} as fs from orders)
+select file_id, case when fs in ('no_url','too_large') then 'skipped' when fs in ('http_error','unreachable') then 'error' end as fetch_decides,
+       case when fs in ('http_error','unreachable') then 'descarga' end as issue_code,
+       case when fs in ('http_error','unreachable') then 'error' end as issue_severity from r""")
+def fetch_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.issues_from_fetch(star.raw_files(spark, sf_dir)).select(
+        "file_id", "fetch_decides", "issue_code", "issue_severity")
+
+
+@register("unknown_statuses", f"""
+select file_id, fetch_status from (select o_orderkey as file_id, case when o_orderstatus = 'P' then 'lost' else {star.FETCH_EXPR} end as fetch_status from orders)
+where fetch_status = 'lost'""")
+def unknown_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = star.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("file_id"),
+        F.when(F.col("o_orderstatus") == "P", "lost").otherwise(F.expr(star.FETCH_EXPR)).alias("fetch_status"))
+    return FO.unknown_statuses(log)
+
+
+@register("broken_datasets", STAR_SQL + """
+select dataset_id, count(*) as failing from files where state in ('roto','no-entrega') group by dataset_id""")
+def broken_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FO.broken_datasets(star.audited_files(spark, sf_dir))
+
+
+@register("issue_maps", STAR_SQL + """,
+b as (select dataset_id, code, sum(count) as n, min(case severity when 'error' then 0 when 'warning' then 1 else 2 end) as s
+      from iss join raw using (file_id) group by 1, 2)
+select dataset_id, string_agg(code || '=' || cast(n as bigint), ',' order by code) as cases,
+       string_agg(code || '=' || (['error','warning','info'])[s + 1], ',' order by code) as severities from b group by dataset_id""")
+def issue_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = R.issue_maps(R.issues_by_code(star.issues(spark, sf_dir), star.raw_files(spark, sf_dir)))
+
+    def text(column: str):
+        pairs = F.array_sort(F.map_entries(column))
+        return F.array_join(F.transform(pairs, lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+
+    return maps.select("dataset_id", text("issues_by_code").alias("cases"), text("issue_severity").alias("severities"))
+
+
+@register("resolved_files", STAR_SQL + """,
+b as (select file_id, dataset_id, lower(format) as base, row_number() over (partition by dataset_id, lower(format) order by idx) as k from raw)
+select file_id, dataset_id from b where base = 'csv' and k = 2""")
+def resolved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file a slug stands for, in every dataset that has it."""
+    return W.file_slugs(star.files(spark, sf_dir)).filter(F.col("slug") == "csv-2").select("file_id", "dataset_id")
+
+
+@register("cause_search", ROWS_SQL + """
+select file_id from rows where list_has_any(cause_codes, ['descarga', 'encabezado-vacio'])""")
+def cause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any-of match on the main cause or any other code of a row."""
+    wanted = D.matches_causes(F.col("cause_code"), F.col("cause_codes"), ["descarga", "encabezado-vacio"])
+    return issue_rows(spark, sf_dir).filter(wanted).select("file_id")

@@ -401,3 +401,38 @@ def quoted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(
         F.get("tokens", F.lit(0)).cast("bigint").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"),
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("breaks"))
+
+
+@register("issue_detail", ORDERS_CELLS + "," + FIND_SQL + """,
+pc as (select file_id, code, col, field, count(*) as n from cellfind group by all)
+select file_id, code, case code when 'celda-faltante' then 'warning' else 'error' end as severity, cast(sum(n) as bigint) as count,
+       cast(sum(n) as bigint) as positions, string_agg(field || ':' || n, ',' order by n desc, col) as columns
+from pc group by file_id, code""")
+def issue_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = located(spark, sf_dir)
+    detail = IO.issue_detail(IO.from_occurrences(found), found)
+    listed = F.transform("columns", lambda c: F.concat_ws(":", c["field"], c["cases"]))
+    return detail.select("file_id", "code", "severity", "count", "positions", F.array_join(listed, ",").alias("columns"))
+
+
+@register("sample_rows", """
+select o_orderkey + 2 as row_no, cast(o_orderkey as varchar) || '|' || substr(repeat(o_orderpriority, 300), 1, 1000) as tokens
+from orders where o_orderkey + 2 <= 201""")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two hundred data rows by position, cells clipped."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.lit("orders").alias("file_id"), (F.col("o_orderkey") + 2).alias("row_no"),
+        F.array(F.col("o_orderkey").cast("string"), F.repeat("o_orderpriority", F.lit(300))).alias("tokens"))
+    return P.sample_rows(rows).select("row_no", F.array_join("tokens", "|").alias("tokens"))
+
+
+@register("text_files", """
+select lang, cast(sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))) as bigint) as lines, true as readable
+from documents group by lang""")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as plain text files, counted line by line."""
+    target = f"{checkpoint_dir(spark).rstrip('/')}/text-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select("lang", "text").write.partitionBy("lang").text(target)
+    scan = DL.scan_text(DL.read_lines(spark, target))
+    lang = F.regexp_extract("file_id", "lang=([^/]+)/", 1)
+    return scan.groupBy(lang.alias("lang")).agg(F.sum("lines").alias("lines"), F.bool_and(F.col("score") > 0).alias("readable"))
