@@ -74,14 +74,35 @@ def describe(text: Column) -> Column:
     )
 
 
+def document_kind(text: Column) -> Column:
+    """Kind of a whole document; null when it is no JSON.
+
+    The first character tells structure apart, so only validity is parsed for.
+    """
+    valid = parse(text)
+    start = F.substring(F.ltrim(text), 1, 1)
+    return F.when(valid.isNotNull(), F.when(start == "{", "object").when(start == "[", "list").otherwise(kind_of(valid)))
+
+
+def _looks_nested(text: Column) -> Column:
+    return text.startswith("{") | text.startswith("[")
+
+
+def _typed_values(text: Column, raw: Column) -> Column:
+    """Values of an object as variants, only when some text looks like structure."""
+    some = F.exists(F.map_values(raw), lambda t: F.coalesce(_looks_nested(t), F.lit(False)))
+    return F.map_values(F.from_json(F.when(some, text), "map<string,variant>"))
+
+
 def _entries(text: Column, path: Column, order: Column) -> Column:
     """Members of an object: (path, order, text, kind), in document order."""
     raw = F.from_json(text, "map<string,string>")
-    typed = F.from_json(text, "map<string,variant>")
-    members = F.arrays_zip(F.map_keys(raw).alias("k"), F.map_values(raw).alias("t"), F.map_values(typed).alias("v"))
-    return F.transform(members, lambda m, i: F.struct(
+    both = F.arrays_zip(F.map_keys(raw).alias("k"), F.map_values(raw).alias("t"))
+    typed = _typed_values(text, raw)
+    return F.transform(both, lambda m, i: F.struct(
         F.when(path == "", m["k"]).otherwise(F.concat(path, F.lit("."), m["k"])).alias("path"),
-        F.concat(order, F.array(i)).alias("order"), m["t"].alias("text"), member_kind(m["t"], m["v"]).alias("kind")))
+        F.concat(order, F.array(i)).alias("order"), m["t"].alias("text"),
+        F.when(_looks_nested(m["t"]), kind_of(F.get(typed, i))).otherwise("scalar").alias("kind")))
 
 
 def members(node: Column) -> Column:
@@ -111,7 +132,7 @@ def record_lists(df, text: str, out: str = "records"):
     """
     root = F.array(F.struct(
         F.lit("").alias("path"), F.array().cast("array<int>").alias("order"),
-        F.col(text).alias("text"), kind_of(parse(F.col(text))).alias("kind")))
+        F.col(text).alias("text"), document_kind(F.col(text)).alias("kind")))
     levels, current = ["__l0"], computed(df, {"__l0": root})
     for depth in range(1, MAX_DEPTH + 1):
         objects = F.filter(levels[-1], lambda e: e["kind"] == "object")
@@ -132,15 +153,21 @@ def _starts_with_record(list_text: Column) -> Column:
 
 
 def item_facts(items: Column) -> dict[str, Column]:
-    """Per record: its keys, and the text and kind of its first member.
+    """Per record: its keys and the text of its first member.
 
     Null unless the first record has a single key: only then can the records
     share one, and nothing else needs these.
     """
     lone = F.when(F.size(F.json_object_keys(F.get(items, F.lit(0)))) == 1, items)
     values = F.transform(lone, lambda i: F.get(F.map_values(F.from_json(i, "map<string,string>")), F.lit(0)))
-    kinds = F.transform(lone, lambda i: kind_of(F.get(F.map_values(F.from_json(i, "map<string,variant>")), F.lit(0))))
-    return {"keys": F.transform(lone, F.json_object_keys), "values": values, "kinds": kinds}
+    return {"keys": F.transform(lone, F.json_object_keys), "values": values}
+
+
+def wrap_objects(items: Column, values: Column) -> Column:
+    """Is the only member of every record an object (and not text that looks like one)?"""
+    both = F.arrays_zip(items.alias("i"), values.alias("v"))
+    return F.forall(both, lambda b: b["v"].startswith("{") & (kind_of(
+        F.get(F.map_values(F.from_json(b["i"], "map<string,variant>")), F.lit(0))) == "object"))
 
 
 def shared_key(keys: Column) -> Column:

@@ -34,7 +34,9 @@ def json_records(docs: DataFrame, text: str = "text", key: str = "file_id") -> D
     listed = J.computed(found, {"items": J.items_of(F.col("records"))}).drop(text, "records")
     facts = J.computed(listed, J.item_facts(F.col("items")))
     # A one-key wrapper around every record is taken off once.
-    facts = J.computed(facts, {"outer": F.when(F.forall("kinds", lambda k: k == "object"), J.shared_key(F.col("keys")))})
+    facts = J.computed(facts, {"shared": J.shared_key(F.col("keys"))})
+    wraps = F.coalesce(J.wrap_objects(F.col("items"), F.col("values")), F.lit(False))
+    facts = J.computed(facts, {"outer": F.when(F.col("shared").isNotNull() & wraps, F.col("shared"))})
     bare = facts.select(
         key,
         F.when(F.col("outer").isNotNull(), F.concat("path", F.lit("[]."), "outer")).otherwise(F.col("path")).alias("path"),
@@ -125,7 +127,7 @@ def json_paths(docs: DataFrame, text: str, key: str, max_depth: int) -> DataFram
     """
     root = F.array(F.struct(
         F.lit("").alias("path"), F.lit("").alias("parent"), F.lit(None).cast("string").alias("name"),
-        F.col(text).alias("text"), J.kind_of(J.parse(F.col(text))).alias("kind")))
+        F.col(text).alias("text"), J.document_kind(F.col(text)).alias("kind")))
     staged = J.computed(docs.select(key, text), {"__l0": root})
     for depth in range(1, max_depth + 1):
         branches = F.filter(f"__l{depth - 1}", lambda e: e["kind"].isin("list", "object"))
@@ -147,7 +149,7 @@ def geojson_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Type, features, null geometries, verdict and score of each document."""
     # Features as text: one that is no object must not spoil the others.
     schema = "type STRING, features ARRAY<STRING>"
-    kind = J.kind_of(J.parse(F.col(text)))
+    kind = J.document_kind(F.col(text))
     staged = docs.withColumns({"__kind": kind, "__g": F.from_json(F.when(kind == "object", F.col(text)), schema)})
     is_collection = F.col("__g.type") == "FeatureCollection"
     features = F.coalesce(F.size("__g.features"), F.lit(0))
