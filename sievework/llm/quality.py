@@ -221,3 +221,8 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows whose text scores below one half."""
+    return score(docs, fit(docs, labels, **options), "__score").filter("__score >= 0.5").drop("__score")

@@ -4,16 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import quality, simhash
+from sievework.llm import mixture, packing, quality, repeats, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, cut at 1024 ids where longer, packed into as few sequences as can be."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources by weight takes of every document."""
+    return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document under a 200-byte string that also starts elsewhere."""
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and the class of near copies it is in."""
-    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +42,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_simhash, op8_quality)}
+QUERIES = {f.__name__: f for f in (op1_packing, op4_mixture, op6_repeats, op7_simhash, op8_quality)}
 SQL: dict[str, str] = {}

@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.components import components
@@ -63,16 +63,17 @@ def text_fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, mark, fp) of every row; mark is a hash of the text that tells rows of one id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             raw, cut = data.tobytes(), offsets.tolist()
             found = [text_fingerprint(raw[cut[k]:cut[k + 1]]) for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id bigint, fp bigint")
+    words = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(words).alias("mark"), words.alias("text")).mapInArrow(
+        run, "doc_id bigint, mark bigint, fp bigint")
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +216,7 @@ def links(prints: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFr
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WIDTH,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row; component_id is the smallest id reachable by links."""
+    """(doc_id, mark, fingerprint, component_id) of every row; component_id is the smallest id reachable by links."""
     marked, _ = written(fingerprints(docs, doc_id, text), "simhash")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(distinct, radius, width))
@@ -224,4 +225,15 @@ def near_duplicates(
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.select("fp", "component").join(least, "component").select("fp", "component_id")
     return marked.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        "doc_id", "mark", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of near copies: that of the smallest id, the first of repeated rows."""
+    found = near_duplicates(docs, doc_id, text, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "component_id").distinct()
+    # A class whose smallest id has several texts keeps the one of the smallest hash.
+    kept = found.groupBy("__id", "component_id").agg(F.min("__mark").alias("__mark")).select("__id", "__mark")
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__mark"))
+    turn = F.row_number().over(Window.partitionBy(F.col("__id"), F.col("__mark")).orderBy("__mark"))
+    return docs.join(kept, same).withColumn("__turn", turn).filter("__turn = 1").select(*[docs[c] for c in docs.columns])
