@@ -1,36 +1,40 @@
-"""Long repeated byte strings, found by sorting a difference-cover sample of suffixes.
+"""Long repeated byte strings, found by sorting a cover of sampled suffixes.
 
 A byte goes when some string of ``LENGTH`` bytes that covers it also starts
-anywhere else.  A suffix array over every byte costs two thirds of the bytes
-as rows on its first level alone, so it is built where repeats can be:
-
-1. *Zones.*  Every string of ``LENGTH`` bytes holds an anchor, the least
-   8-gram of its first half, at a place that depends on the string alone.  The
-   strings of an anchor whose 100 following bytes occur once cannot repeat;
-   the others form zones.  This loses no repeat.
-2. *Sample.*  In the zones the suffixes at positions of a perfect difference
-   cover (mod 133) are sampled.  Two equal strings at i and j have a shift
-   k < 133 for which i + k and j + k are both in the sample.
+anywhere else.  This follows the difference-cover construction of a suffix
+array: sort a sample of the suffixes by names that come from recursion on
+triples, place the remaining suffixes by their shift to the sample, compare
+neighbours.  Two things differ, for the size of what moves (see the README):
+it is built only where repeats can be, and the cover is aligned to content.  A
+cover by position must hold shifts for every residue and so takes one position
+in eleven; a cover counted from anchors holds one in sixteen and every two
+equal strings have the same shift, under 16, to it.
+
+1. *Zones.*  Every string holds an anchor, the least 8-gram of its first half,
+   at a place that depends on the string alone.  A string whose anchor's 100
+   following bytes occur once cannot repeat; the others form zones.
+2. *Sample.*  In the zones the suffixes at multiples of ``STEP`` before an
+   anchor are sampled; each stands for the cell of ``STEP`` strings that start
+   up to it.
 3. *Names.*  Prefixes get names by recursion on triples: three 8-byte words
-   give a 24-byte name, three of those 72 bytes, three of those 200 bytes.
-   The sample is sorted by the name of its first 68 bytes (what is left of 200
-   after the largest shift) and then by the name of the 332 bytes around it.
-   Neighbours with the same second name share every string over the sample.
-4. *Merge.*  Strings at other places are only open where a sample has a
-   neighbour that differs around it.  They are sorted by the (128-bit) names
-   of their 200 bytes, and neighbours in that order are compared.
+   give a 24-byte name, three of those 72 bytes, three of those up to 200.
+   The sample is sorted by the name of what all strings of the cell share (185
+   bytes) and then by the name of all they cover (215 bytes).  Neighbours with
+   the same second name share every string of the cell; a first name that
+   occurs once rules them all out.
+4. *Merge.*  The strings of the other cells, which lie at the ends of repeats,
+   are sorted by the (128-bit) names of their 200 bytes and neighbours compared.
 
 Names are hashes, as repeats need equality and not order.  Texts move once,
 and only those with zones go on.  All group work is a sort over rows, so a
 string that millions of documents share is spread and spilled, not gathered.
 
-Defined cases: null and empty texts and those under 200 bytes lose nothing
-unless they are covered (they never are); repeated rows are other rows, so a
-repeated text of 200 bytes goes wholly in each; other columns are ignored.
+Defined cases: null and empty texts and those under 200 bytes lose nothing;
+repeated rows are other rows, so a repeated text of 200 bytes goes wholly in
+each; very long texts are worked on in overlapping pieces; other columns are
+ignored.
 """
 
-from __future__ import annotations
-
 import hashlib
 from collections.abc import Iterator
 
@@ -44,11 +48,10 @@ from sievework.llm.shared import SLICE_BYTES, slices, text_bytes, written
 LENGTH = 200
 ANCHOR_BYTES = 100
 SELECT = LENGTH - ANCHOR_BYTES + 1
-# A perfect difference set modulo 133.
-PERIOD = 133
-COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-PREFIX = LENGTH - PERIOD + 1
-_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+STEP = 16
+#: Bytes that all strings of a cell share.
+CORE = LENGTH - STEP + 1
+_MARGIN = 2 * LENGTH
 _K1, _K2, _K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -86,12 +89,29 @@ def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return take(after[:n - width + 1], before[width - 1:n])
 
 
+def _selection(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each 8-gram, and the least value among those a string from each position on chooses from."""
+    hashed = ((_words(data).astype(np.uint64) * _K1) >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
+    return hashed, _sliding(hashed, SELECT, True)[:len(data) - LENGTH + 1]
+
+
+def own_anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of one text, and for the string at each position the number of its own (first) anchor."""
+    at = anchors(data, np.array([len(data)]))
+    hashed, least = _selection(data)
+    own = np.searchsorted(at, np.arange(len(least)))
+    rest = np.flatnonzero(hashed[at[own]] != least)
+    while len(rest):
+        own[rest] += 1
+        rest = rest[hashed[at[own[rest]]] != least[rest]]
+    return at, own
+
+
 def anchors(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Anchor positions; ``ends`` are the ends of the texts in ``data``, and no string crosses one."""
     if len(data) < LENGTH:
         return np.empty(0, np.int64)
-    hashed = ((_words(data).astype(np.uint64) * _K1) >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
-    least = _sliding(hashed, SELECT, True)[:len(data) - LENGTH + 1]
+    hashed, least = _selection(data)
     starts = np.concatenate([[0], ends[:-1]])
     whole = np.zeros(len(data) + 1, np.int32)  # strings that lie in one text
     long = ends - starts >= LENGTH
@@ -137,11 +157,11 @@ class Names:
         n = len(x) - 2 * step
         return _mix(x[:n], x[step:step + n], x[2 * step:2 * step + n], seed) if n > 0 else np.empty(0, np.uint64)
 
-    def of_24(self) -> np.ndarray:
-        return self._triples(self.words, 8)
+    def of_72(self, seed: np.uint64 = _K1) -> np.ndarray:
+        return self._triples(self._triples(self.words, 8, seed), 24, seed)
 
     def of_200(self, seed: np.uint64 = _K1) -> np.ndarray:
-        return self._triples(self._triples(self._triples(self.words, 8, seed), 24, seed), 64, seed)
+        return self._triples(self.of_72(seed), 64, seed)
 
 
 def _zone(n: int, places: np.ndarray, back: int) -> np.ndarray:
@@ -188,31 +208,48 @@ def _batched(found: Iterator[tuple[int, tuple[np.ndarray, ...]]], names: list[st
         yield _table(held, names)
 
 
+def _pieces(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first string, end of strings, first byte, end of bytes) of the pieces a text of n bytes is worked on in."""
+    strings = n - LENGTH + 1
+    for lo in range(0, strings, SLICE_BYTES):
+        hi = min(strings, lo + SLICE_BYTES)
+        yield lo, hi, max(0, lo - _MARGIN), min(n, hi + LENGTH + _MARGIN)
+
+
+def _cells(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name of the core, name of all bytes, last string) of the cells with a string whose anchor is one of ``places``."""
+    found = []
+    for lo, hi, first, end in _pieces(len(data)):
+        own_data = data[first:end]
+        at, own = own_anchors(own_data)
+        strings = np.arange(lo, hi) - first
+        anchor = at[own[strings]]
+        again = np.isin(anchor + first, places)
+        last = np.unique(anchor[again] - (anchor[again] - strings[again]) // STEP * STEP)
+        names = Names(own_data, STEP - 1)
+        t72, t200 = names.of_72(), names.of_200()
+        place = last + STEP - 1
+        core = _mix(t72[place], t72[place + 56], t72[place + CORE - 72])
+        before, after = np.minimum(last + first, STEP - 1), np.minimum(len(data) - LENGTH - last - first, 0)
+        edges = (before * 1024 - after).astype(np.uint64)
+        found.append((core, _mix(t200[last], t200[place], edges), last + first))
+    core, around, last = (np.concatenate(c) for c in zip(*found))
+    last, once = np.unique(last, return_index=True)
+    return core[once], around[once], last
+
+
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found():
-        for key, data, places in _text_rows(batches, "places"):
-            n = len(data)
-            zone = np.concatenate([_zone(n, places, LENGTH - ANCHOR_BYTES), np.zeros(LENGTH - 1, bool)])
-            at = np.arange(0, n - PREFIX + 1)
-            at = at[_IN_COVER[at % PERIOD]]
-            before = np.concatenate([[0], np.cumsum(zone)])
-            at = at[before[at + 1] > before[np.maximum(at - PERIOD + 1, 0)]]  # some string over it is in a zone
-            names = Names(data, PERIOD - 1)
-            t24, t200 = names.of_24(), names.of_200()
-            own = at + PERIOD - 1
-            prefix = _mix(t24[own], t24[own + 22], t24[own + 44])
-            edges = (np.minimum(at, PERIOD - 1) * 1024 + np.minimum(n - at - PREFIX, PERIOD - 1)).astype(np.uint64)
-            yield key, (prefix, _mix(t200[at], t200[own], edges), at)
-
-    return _batched(found(), ["name", "around", "pos"])
+    return _batched(((key, _cells(data, places)) for key, data, places in _text_rows(batches, "places")), ["name", "around", "pos"])
 
 
 def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found():
         for key, data, places in _text_rows(batches, "unsure"):
-            at = np.flatnonzero(_zone(len(data), places, PERIOD - 1))
-            names = Names(data)
-            yield key, (names.of_200()[at], names.of_200(_OTHER)[at], at)
+            flags = _zone(len(data), places, STEP - 1)
+            for lo, hi, _, _ in _pieces(len(data)):
+                at = np.flatnonzero(flags[lo:hi])
+                names = Names(data[lo:hi + LENGTH - 1])
+                yield key, (names.of_200()[at], names.of_200(_OTHER)[at], at + lo)
 
     return _batched(found(), ["name", "check", "pos"])
 
@@ -221,7 +258,7 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     for key, data, sure, equal in _text_rows(batches, "sure", "equal"):
         n = len(data)
-        starts = _zone(n, sure, PERIOD - 1)
+        starts = _zone(n, sure, STEP - 1)
         starts[equal] = True
         covered = np.zeros(n + 1, np.int32)
         at = np.flatnonzero(starts)
