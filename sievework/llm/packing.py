@@ -53,9 +53,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
              ("ids_crc32", pa.int64()), ("part", pa.int32()), ("rank", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, ranks = IdEncoder(tokenizer, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, part, ranks = IdEncoder.of_worker(tokenizer, end_id), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for piece in slices(batch, limit=4_000_000):
+            for piece in slices(batch, limit=2_000_000):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 rows: list[tuple] = []
                 for name, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(texts)):

@@ -11,38 +11,74 @@ import re
 
 import numpy as np
 
-#: Remembered pieces of a worker; all are forgotten when there are more.
-REMEMBERED = 600_000
+#: Pieces of each of the two generations that a worker remembers.
+REMEMBERED = 250_000
+
+
+class _Known(dict):
+    """Ids of pieces.  A piece not met before gets an empty buffer that is filled before it is read.
+
+    When there are too many, they become the old generation, and only those met again come back from it.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.open: dict[str, bytearray] = {}
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            self.open[piece] = ids = bytearray()
+        self[piece] = ids
+        return ids
+
+    def settle(self) -> None:
+        self.update((piece, bytes(ids)) for piece, ids in self.open.items())
+        self.open.clear()
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
 
 
 class IdEncoder:
     """``encode(texts)``: the ids of each text as bytes, ``end_id`` last."""
 
+    @classmethod
+    def of_worker(cls, path: str, end_id: int) -> "IdEncoder":
+        """The encoder a Python worker keeps from task to task.
+
+        Code comes anew with every task; the tokenizers library itself is what stays in the worker.
+        """
+        import tokenizers
+
+        kept = vars(tokenizers).setdefault("_kept_encoders", {})
+        if (path, end_id) not in kept:
+            kept[path, end_id] = cls(path, end_id)
+        return kept[path, end_id]
+
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
-        kind = (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)
         # Without a normalizer, white space is kept: one space goes with the word after it, a line end stands alone.
-        self.keeps_space = kind[1] is None
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.keeps_space = self.tokenizer.normalizer is None
+        self.first, self.later = _Known(), _Known()
         self.odd = re.compile(r"\s\s|[^\S \n]|\s\Z" if self.keeps_space else r"[\x1c-\x1f]")
         self.line = self._whole(["\n"])[0] if self.keeps_space else b""
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], prefix: str) -> None:
-        new = list(words.difference(known))
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(words)
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            known.update(zip(part, self._whole([prefix + w for w in part] if prefix else part)))
+    def _fill(self, known: _Known, prefix: str) -> None:
+        pieces = list(known.open)
+        for k in range(0, len(pieces), 10_000):
+            part = pieces[k:k + 10_000]
+            for piece, ids in zip(part, self._whole([prefix + w for w in part])):
+                known.open[piece] += ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -51,17 +87,23 @@ class IdEncoder:
         rest = [k for k in range(len(texts)) if k not in chosen]
         for k, ids in zip(rest, self._whole([texts[k] for k in rest])):
             out[k] = ids + self.end
-        if not self.keeps_space:
-            split = [texts[k].split() for k in plain]
-            self._learn(self.first, set().union(*split), "")
-            get = self.first.__getitem__
-            for k, words in zip(plain, split):
-                out[k] = b"".join(map(get, words)) + self.end
-            return out
-        split_lines = [[line.split(" ") for line in texts[k].split("\n")] for k in plain]
-        self._learn(self.first, {words[0] for lines in split_lines for words in lines}, "")
-        self._learn(self.later, set().union(*(words[1:] for lines in split_lines for words in lines)), " ")
-        first, later = self.first.__getitem__, self.later.__getitem__
-        for k, lines in zip(plain, split_lines):
-            out[k] = self.line.join([first(words[0]) + b"".join(map(later, words[1:])) for words in lines]) + self.end
+        first, later, found = self.first.__getitem__, self.later.__getitem__, []
+        for k in plain:
+            if not self.keeps_space:
+                found.append(list(map(first, texts[k].split())))
+                continue
+            parts: list = []
+            for line in texts[k].split("\n"):
+                words = iter(line.split(" "))
+                parts.append(self.line)
+                parts.append(first(next(words)))
+                parts.extend(map(later, words))
+            found.append(parts[1:])
+        self._fill(self.first, "")
+        self._fill(self.later, " ")
+        for k, parts in zip(plain, found):
+            parts.append(self.end)
+            out[k] = b"".join(parts)
+        self.first.settle()
+        self.later.settle()
         return out
