@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import mixture, packing, quality, repeats, simhash
+from sievework.llm import embeddings, language, mixture, multiset, packing, quality, repeats, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all embeddings with a cosine of 0.95 or more."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document under a 200-byte string that also starts elsewhere."""
     return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -42,5 +47,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op4_mixture, op6_repeats, op7_simhash, op8_quality)}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt outside the held-out fold."""
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
+def op10_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return multiset.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op4_mixture, op5_embeddings, op6_repeats, op7_simhash, op8_quality, op9_language, op10_multiset)}
 SQL: dict[str, str] = {}
