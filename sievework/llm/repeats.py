@@ -7,8 +7,8 @@ triples, place the remaining suffixes by their shift to the sample, compare
 neighbours.  Two things differ, for the size of what moves (see the README):
 it is built only where repeats can be, and the cover is aligned to content.  A
 cover by position must hold shifts for every residue and so takes one position
-in eleven; a cover counted from anchors holds one in sixteen and every two
-equal strings have the same shift, under 16, to it.
+in eleven; a cover counted from anchors holds one in 32 and every two
+equal strings have the same shift, under 32, to it.
 
 1. *Zones.*  Every string holds an anchor, the least 8-gram of its first half,
    at a place that depends on the string alone.  A string whose anchor's 100
@@ -18,8 +18,8 @@ equal strings have the same shift, under 16, to it.
    up to it.
 3. *Names.*  Prefixes get names by recursion on triples: three 8-byte words
    give a 24-byte name, three of those 72 bytes, three of those up to 200.
-   The sample is sorted by the name of what all strings of the cell share (185
-   bytes) and then by the name of all they cover (215 bytes).  Neighbours with
+   The sample is sorted by the name of what all strings of the cell share (169
+   bytes) and then by the name of all they cover (231 bytes).  Neighbours with
    the same second name share every string of the cell; a first name that
    occurs once rules them all out.
 4. *Merge.*  The strings of the other cells, which lie at the ends of repeats,
@@ -48,7 +48,7 @@ from sievework.llm.shared import SLICE_BYTES, slices, text_bytes, written
 LENGTH = 200
 ANCHOR_BYTES = 100
 SELECT = LENGTH - ANCHOR_BYTES + 1
-STEP = 16
+STEP = 32
 #: Bytes that all strings of a cell share.
 CORE = LENGTH - STEP + 1
 _MARGIN = 2 * LENGTH
@@ -229,7 +229,7 @@ def _cells(data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
         names = Names(own_data, STEP - 1)
         t72, t200 = names.of_72(), names.of_200()
         place = last + STEP - 1
-        core = _mix(t72[place], t72[place + 56], t72[place + CORE - 72])
+        core = _mix(t72[place], t72[place + (CORE - 72) // 2], t72[place + CORE - 72])
         before, after = np.minimum(last + first, STEP - 1), np.minimum(len(data) - LENGTH - last - first, 0)
         edges = (before * 1024 - after).astype(np.uint64)
         found.append((core, _mix(t200[last], t200[place], edges), last + first))
@@ -314,13 +314,13 @@ def removals(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     lists = marked.groupBy("key").agg(
         F.collect_set(F.when(F.col("sure"), F.col("pos"))).alias("sure"),
         F.collect_set(F.when(F.col("unsure"), F.col("pos"))).alias("unsure"))
-    judged, _ = written(zoned.select("key", "text").join(lists, "key"), "samples")
+    lists, _ = written(lists, "samples")
 
-    opened = judged.filter(F.size("unsure") > 0).mapInArrow(_open_rows, "key bigint, name bigint, check bigint, pos int")
+    opened = zoned.select("key", "text").join(lists.filter(F.size("unsure") > 0), "key").mapInArrow(_open_rows, "key bigint, name bigint, check bigint, pos int")
     names = Window.partitionBy("name", "check")
     equal = opened.withColumn("n", F.count(F.lit(1)).over(names)).filter("n > 1").groupBy("key").agg(
         F.collect_set("pos").alias("equal"))
-    return judged.join(equal, "key", "left").mapInArrow(_removal, _REMOVED)
+    return zoned.select("key", "text").join(lists.join(equal, "key", "left"), "key").mapInArrow(_removal, _REMOVED)
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
