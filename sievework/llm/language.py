@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 from sievework.llm.shared import fold, slices, text_bytes, written
 
 ORDER = 3
-MAX_CONTEXTS = 40_000
+MAX_CONTEXTS = 16_000
 #: Byte values with a symbol of their own; the rest share one.
 MAX_SYMBOLS = 126
+_CONTEXTS = 1000
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -101,15 +102,22 @@ class Trees:
             for k in range(order, 0, -1):
                 context = context * size + self.symbol[code >> (8 * k) & 0xFF]
             known, own = np.unique(context, return_inverse=True)
-            table = np.zeros((len(known), size, count))
-            np.add.at(table, (own, symbol, lang), n)
-            total, followers = table.sum(axis=1), (table > 0).sum(axis=1)
-            # A context keeps its last order - 1 bytes in the shorter tree.
-            shorter = lower[self._rows(lower_of, known % size ** max(order - 1, 0), len(lower))] if order else base
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(np.where(total > 0, followers / (total + followers), 1)), 0)[:, None, :]
-                direct = -np.log2(table / (total + followers)[:, None, :])
-            cost = np.where(table > 0, direct, escape + shorter).astype(np.float32)
+            # A context keeps its last order - 1 bytes in the shorter tree; where that was pruned, the one below serves.
+            shorter = known % size ** max(order - 1, 0)
+            above = shorter if lower_of is None else lower_of[shorter]
+            gone = np.flatnonzero(above < 0)
+            cost = np.empty((len(known), size, count), np.float32)
+            by_context = np.argsort(own, kind="stable")
+            bounds = np.searchsorted(own[by_context], np.arange(0, len(known) + _CONTEXTS, _CONTEXTS))
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:])):  # some contexts at a time: the counts are wide
+                rows, cells_of = slice(k * _CONTEXTS, min(len(known), (k + 1) * _CONTEXTS)), by_context[a:b]
+                table = np.zeros((len(cost[rows]), size, count))
+                np.add.at(table, (own[cells_of] - k * _CONTEXTS, symbol[cells_of], lang[cells_of]), n[cells_of])
+                near = lower[above[rows]]
+                lost = gone[(gone >= rows.start) & (gone < rows.stop)]
+                if len(lost):
+                    near[lost - rows.start] = self.tables[1][1][known[lost] % size]
+                cost[rows] = self._costs(table, near)
             if order >= 2:  # one more row for contexts that are not known
                 index = np.full(size ** order, -1, np.int32)
                 index[known] = np.arange(len(known))
@@ -121,8 +129,13 @@ class Trees:
             lower, lower_of = cost, index
 
     @staticmethod
-    def _rows(index, context: np.ndarray, n: int) -> np.ndarray:
-        return context if index is None else index[context]
+    def _costs(table: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+        """Bits of every symbol after counted contexts, given those of the next shorter contexts."""
+        total, followers = table.sum(axis=1), (table > 0).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(total > 0, -np.log2(np.where(total > 0, followers / (total + followers), 1)), 0)[:, None, :]
+            direct = -np.log2(table / (total + followers)[:, None, :])
+        return np.where(table > 0, direct, escape + shorter)
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of every text under every language."""
@@ -171,7 +184,7 @@ def train(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trees | None:
             context = F.shiftright("code", 8)
             most = part.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(max_contexts)
             part = part.join(F.broadcast(most), context == F.col("context"))
-        found = part.select("lang", "code", "n").toPandas()
+        found = part.select("lang", F.col("code"), "n").toPandas()
         cells.append((found["code"].to_numpy(np.int64), np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object)),
                       found["n"].to_numpy(np.float64)))
     return Trees(langs, cells)
