@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import embeddings, language, mixture, multiset, packing, quality, repeats, simhash
+from sievework.llm import embeddings, idfile, language, mixture, multiset, packing, quality, repeats, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, read back from the archives written from them."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op3_idfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, read back from the files written from them."""
+    return idfile.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources by weight takes of every document."""
     return mixture.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -58,5 +68,5 @@ def op10_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op4_mixture, op5_embeddings, op6_repeats, op7_simhash, op8_quality, op9_language, op10_multiset)}
+    op1_packing, op2_warc, op3_idfile, op4_mixture, op5_embeddings, op6_repeats, op7_simhash, op8_quality, op9_language, op10_multiset)}
 SQL: dict[str, str] = {}
