@@ -112,7 +112,7 @@ class PlanePairs:
         self.planes = []
         for shift in range(8):
             moved = np.zeros((BITS, width + 64 + 7), np.uint8)
-            moved[:, :width - shift] = bits[:, shift:]
+            moved[:, :max(0, width - shift)] = bits[:, shift:]
             self.planes.append(np.packbits(moved, axis=1))
 
     def _within(self, shift: int, first: int, stop: int) -> np.ndarray:

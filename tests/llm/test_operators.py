@@ -234,6 +234,12 @@ def test_bit_sliced_pairs():
     assert found == want
 
 
+def test_bit_sliced_pairs_of_few_rows():
+    for n in range(1, 9):
+        found = [p for a, b in simhash.PlanePairs(np.arange(n), np.zeros(n, int), np.full(n, -1), 64).links() for p in zip(a, b)]
+        assert len(found) == n * (n - 1) // 2
+
+
 def test_quality(spark, docs, none):
     good = [(k, "the quick brown fox runs over hills, and rests. " * 3 + str(k)) for k in range(300)]
     bad = [(1000 + k, "BUY!! NOW!! " * 12 + str(k)) for k in range(60)]
