@@ -76,7 +76,7 @@ def looks_textual(content: Column) -> Column:
 
 def service_exception(content: Column) -> Column:
     """(code, locator, text) when the body is a map-service exception, else null."""
-    body = F.decode(F.substring(_bytes(content), 1, 8192), "ISO-8859-1")
+    body = F.decode(_bytes(content), "ISO-8859-1")
 
     def found(pattern: str, group: int = 1) -> Column:
         text = F.regexp_extract(body, pattern, group)

@@ -144,8 +144,9 @@ def duplicate_rows(df: DataFrame, content: Sequence[Column], position: str) -> D
     Long content travels as its SHA-256; the first row of each content is a
     map-side minimum, so a group of copies of any size costs nothing extra.
     """
-    text = F.concat_ws("\u0000", *[F.coalesce(c.cast("string"), F.lit("\u0001")) for c in content])
-    keyed = df.withColumn("__content", F.sha2(text.cast("binary"), 256))
+    # Each cell with its length before it, null as a cell of no length: no two contents look alike.
+    cells = [F.coalesce(F.concat(F.octet_length(c.cast("string")), F.lit(":"), c.cast("string")), F.lit("-")) for c in content]
+    keyed = df.withColumn("__content", F.sha2(F.concat(*cells).cast("binary"), 256))
     return repeats(keyed, ["__content"], position).drop("__content")
 
 

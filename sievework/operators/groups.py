@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 BLOCK_WIDTH = 1_000_000
 HOT_ROWS = 2_000_000
-HOT_SPREAD = 64
 _BLOCK, _BASE, _SALT, _HOT = "__block", "__rows_before", "__salt", "__hot"
 
 
@@ -125,26 +124,28 @@ def join_by_key(
     how: str = "left",
     counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    spread: int = HOT_SPREAD,
+    spread: int | None = None,
 ) -> DataFrame:
     """Join a large table to a table holding one row per key.
 
-    Keys shared by more than ``hot_rows`` rows are spread over ``spread``
-    tasks.  There are at most ``rows / hot_rows`` of them, which bounds the
-    broadcast of their names; all other keys go through an ordinary join whose
-    strategy Spark picks from its own size estimates.
+    A key shared by n > ``hot_rows`` rows is spread over n / ``hot_rows`` tasks,
+    so a task's share stays the same however large the key grows (or over
+    ``spread`` tasks where that is given).  How the few
+    hot keys and the rows meet is left to Spark's own size estimates.
 
     ``counts`` (keys and ``n``) saves counting the rows of ``df`` when they, or
     those of a cheaper table with at least as many rows per key, are known.
     """
     keys = list(keys)
     counts = key_counts(df, keys) if counts is None else counts
-    hot = counts.filter(F.col("n") > hot_rows).select(*keys, F.lit(True).alias(_HOT))
-    spread_of = F.pmod(F.xxhash64(row_id), F.lit(spread)).cast("int")
-    marked = df.join(F.broadcast(hot), keys, "left").withColumn(
-        _SALT, F.when(F.col(_HOT), spread_of).otherwise(0)).drop(_HOT)
-    salts = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))
-    copies = per_key.join(F.broadcast(hot), keys, "left").withColumn(_SALT, F.explode(salts)).drop(_HOT)
+    hot = counts.filter(F.col("n") > hot_rows).select(
+        *keys,
+        (F.ceil(F.col("n") / F.lit(hot_rows)) if spread is None else F.lit(spread)).cast("int").alias(_HOT))
+    spread_of = F.pmod(F.xxhash64(row_id), F.col(_HOT)).cast("int")
+    marked = df.join(hot, keys, "left").withColumn(
+        _SALT, F.when(F.col(_HOT).isNotNull(), spread_of).otherwise(0)).drop(_HOT)
+    salts = F.when(F.col(_HOT).isNotNull(), F.sequence(F.lit(0), F.col(_HOT) - 1)).otherwise(F.array(F.lit(0)))
+    copies = per_key.join(hot, keys, "left").withColumn(_SALT, F.explode(salts)).drop(_HOT)
     return marked.join(copies, [*keys, _SALT], how).drop(_SALT)
 
 

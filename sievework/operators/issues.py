@@ -91,22 +91,23 @@ def number_occurrences(occurrences: DataFrame, width: int = 1_000_000) -> DataFr
     return joined.withColumn("n", F.col("__k") + F.col("__base")).drop("__k", "__base", "__b")
 
 
-def cap_occurrences(occurrences: DataFrame, cap: int = dims.MAX_OCCURRENCES) -> DataFrame:
-    """The occurrences a report stores: the first ``cap`` of each issue.
+def cap_occurrences(occurrences: DataFrame, cap: int | None = None) -> DataFrame:
+    """The occurrences a report stores: all, or the first ``cap`` of each issue.
 
     Counts are taken from the uncapped table; this only bounds what is located.
     """
+    if cap is None:
+        return occurrences
     return number_occurrences(occurrences).filter(F.col("n") <= cap).drop("n")
 
 
 def positions(occurrences: DataFrame, file_id, code: str, offset: int = 0,
               limit: int = dims.MAX_POSITIONS) -> DataFrame:
     """One page of located occurrences: column groups first, then row-only."""
-    limit = max(0, min(limit, dims.MAX_POSITIONS))
     wanted = occurrences.filter((F.col("file_id") == file_id) & (F.col("code") == code))
     return wanted.orderBy(
         F.col("col").isNull(), F.coalesce("sheet", F.lit("")), "col", "row_no"
-    ).offset(max(0, offset)).limit(limit)
+    ).offset(max(0, offset)).limit(max(0, limit))
 
 
 def affected_columns(occurrences: DataFrame) -> DataFrame:

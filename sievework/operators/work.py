@@ -72,14 +72,14 @@ def filter_file_issues(
     return out
 
 
-def facets(rows: DataFrame, active: Sequence[str] = (), top: int = dims.TOP_CAUSES) -> DataFrame:
+def facets(rows: DataFrame, active: Sequence[str] = (), top: int | None = None) -> DataFrame:
     """Counts per family, plus the commonest causes and any that are in use."""
     families = rows.groupBy(F.col("family").alias("value")).agg(F.count(F.lit(1)).alias("files")).select(
         F.lit("family").alias("facet"), "value", "files")
     causes = rows.select(F.explode("cause_codes").alias("value")).groupBy("value").agg(
         F.count(F.lit(1)).alias("files")).select(F.lit("cause").alias("facet"), "value", "files")
-    kept = causes.orderBy(F.desc("files"), "value").limit(top)
-    if active:
+    kept = causes if top is None else causes.orderBy(F.desc("files"), "value").limit(top)
+    if active and top is not None:
         kept = kept.union(causes.filter(F.col("value").isin(*active))).distinct()
     return families.unionByName(kept)
 
@@ -165,9 +165,10 @@ def alerts(by_code: DataFrame, scored: DataFrame) -> DataFrame:
         "level", F.when(critical, "critical").otherwise("warning"))
 
 
-def worst_first(alerted: DataFrame, score: str = "composite", limit: int = dims.MAX_ALERTS) -> DataFrame:
-    """The alert list as shown: unknown scores first, then the lowest."""
-    return alerted.orderBy(F.asc_nulls_first(score), "dataset_id").limit(limit)
+def worst_first(alerted: DataFrame, score: str = "composite", limit: int | None = None) -> DataFrame:
+    """The alert list as shown: unknown scores first, then the lowest; all of it, or the first ``limit``."""
+    ordered = alerted.orderBy(F.asc_nulls_first(score), "dataset_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def alert_summary(alerted: DataFrame) -> DataFrame:
@@ -236,13 +237,13 @@ def repair_actions(*families: DataFrame) -> DataFrame:
 
 
 def dictionary_encode(df: DataFrame, text: str, position: str, out: str = "note_id",
-                      max_chars: int = 220) -> tuple[DataFrame, DataFrame]:
+                      max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Repeated notes to small ids, in order of first appearance.
 
     Returns (rows with ids, note table).  Ids come from numbering the notes by
     the position of their first row, which is unique.
     """
-    note = F.substring(F.col(text), 1, max_chars)
+    note = F.col(text) if max_chars is None else F.substring(F.col(text), 1, max_chars)
     noted = df.withColumn("__note", F.when(note != "", note))
     firsts = noted.filter("__note is not null").groupBy("__note").agg(F.min(position).alias("__first"))
     notes = number_within(firsts, [], "__first", out, sparse=True).select(

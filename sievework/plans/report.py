@@ -340,7 +340,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("worst_alerts", ALERTS_SQL + """
 select dataset_id, composite, level from al order by composite asc nulls first, dataset_id limit 500""")
 def worst_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.worst_first(alert_table(spark, sf_dir)).select("dataset_id", "composite", "level")
+    return W.worst_first(alert_table(spark, sf_dir), limit=500).select("dataset_id", "composite", "level")
 
 
 @register("alert_summary", ALERTS_SQL + """

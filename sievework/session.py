@@ -22,6 +22,9 @@ _SQL_DEFAULTS = {
 }
 
 
+_FORCE = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+
+
 def local_session(app: str = "sievework", cores: str = "8", **conf: str) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
     builder = (
@@ -38,9 +41,13 @@ def local_session(app: str = "sievework", cores: str = "8", **conf: str) -> Spar
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings above to a session somebody else created."""
+    """Apply the SQL settings above that the session's creator has not given."""
+    given = spark.sparkContext.getConf()
     for key, value in _SQL_DEFAULTS.items():
-        spark.conf.set(key, value)
+        if not given.contains(key) and spark.conf.get(key, "") != "false":
+            spark.conf.set(key, value)
+    if not given.contains(_FORCE):  # off unless set, so "off" says nothing about anybody's wish
+        spark.conf.set(_FORCE, "true")
     return spark
 
 
@@ -48,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a temporary one only when unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="run-ckpt-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

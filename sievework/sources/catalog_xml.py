@@ -45,10 +45,8 @@ def escape_descriptions(xml: Column, tag: str = "dct:description") -> Column:
 
 def drop_prefixes(xml: Column) -> Column:
     names = F.regexp_replace(xml, r"(</?)[A-Za-z_][\w.-]*:(?=[A-Za-z_])", "$1")
-    out = names
-    for _ in range(3):  # a tag may carry several prefixed attributes
-        out = F.regexp_replace(out, r"(<[^<>]*?\s)[A-Za-z_][\w.-]*:([A-Za-z_][\w.-]*\s*=)", "$1$2")
-    return out
+    # An attribute's prefix: what comes next among the angle brackets closes the tag.
+    return F.regexp_replace(names, r"(\s)[A-Za-z_][\w.-]*:(?=[A-Za-z_][\w.-]*\s*=[^<>]*>)", "$1")
 
 
 def dataset_fragments(spark: SparkSession, path: str, tag: str = "dcat:Dataset") -> DataFrame:
