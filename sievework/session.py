@@ -44,7 +44,7 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings above that the session's creator has not given."""
     given = spark.sparkContext.getConf()
     for key, value in _SQL_DEFAULTS.items():
-        if not given.contains(key) and spark.conf.get(key, "") != "false":
+        if not given.contains(key) and spark.conf.get(key) != "false":
             spark.conf.set(key, value)
     if not given.contains(_FORCE):  # off unless set, so "off" says nothing about anybody's wish
         spark.conf.set(_FORCE, "true")
