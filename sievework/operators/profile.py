@@ -122,7 +122,7 @@ def column_profiles(stats: DataFrame, rows: DataFrame | None = None) -> DataFram
     nulls = F.col("n_rows") - F.col("filled")
     is_num, is_date = F.col("majority") == "number", F.col("majority") == "date"
     return stats.select(
-        *KEY, F.substring("field", 1, 200).alias("name"),
+        *KEY, F.col("field").alias("name"),
         lookup(F.col("majority"), dims.TYPE_DISPLAY, "string").alias("type"),
         nulls.alias("null_count"),
         F.when(F.col("n_rows") > 0, round_half_up(nulls / F.col("n_rows"), 4)).otherwise(0.0).alias("null_pct"),

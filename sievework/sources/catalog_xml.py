@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.metadata import periodicity_months
 from sievework.functions.text import category_of, license_label, mime_format
+from sievework.functions.xml_text import repair_xml
 from sievework.sources.delimited import place_lines, split_table
 
 _RESOURCE = "STRUCT<_resource: STRING, _VALUE: STRING>"
@@ -23,7 +24,8 @@ DATASET_SCHEMA = f"""
   accrualPeriodicity STRUCT<Frequency: STRUCT<value: STRUCT<DurationDescription:
     STRUCT<months: STRING, days: STRING, years: STRING>>>>,
   distribution ARRAY<STRUCT<Distribution: STRUCT<_about: STRING,
-    format: STRUCT<IMT: STRUCT<_value: STRING, _label: STRING>>, accessURL: {_RESOURCE}>>>
+    format: STRUCT<IMT: STRUCT<_value: STRING, _label: STRING>>, accessURL: {_RESOURCE}>>>,
+  malformed STRING
 """
 
 
@@ -64,8 +66,15 @@ def dataset_fragments(spark: SparkSession, path: str, tag: str = "dcat:Dataset")
 
 
 def parse_datasets(fragments: DataFrame) -> DataFrame:
-    clean = drop_prefixes(escape_descriptions(F.col("xml")))
-    return fragments.withColumn("d", F.from_xml(clean, DATASET_SCHEMA)).drop("xml")
+    """Fields of every dataset; loose ampersands are repaired, what still is no XML has ``d.malformed``."""
+    clean = repair_xml(drop_prefixes(escape_descriptions(F.col("xml"))))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+    return fragments.withColumn("d", F.from_xml(clean, DATASET_SCHEMA, options)).drop("xml")
+
+
+def rejected_datasets(parsed: DataFrame) -> DataFrame:
+    """(source, dataset_index, xml) of the elements that could not be read."""
+    return parsed.filter("d.malformed is not null").select("source", "dataset_index", F.col("d.malformed").alias("xml"))
 
 
 def _text(column: str) -> Column:
@@ -88,7 +97,7 @@ def _file_url(dist: Column) -> Column:
 
 def catalog_files(parsed: DataFrame) -> DataFrame:
     """One row per listed file; files without an address are kept."""
-    files = parsed.select(
+    files = parsed.filter("d.malformed is null").select(
         "source", "dataset_index", F.coalesce("d._about", F.lit("")).alias("dataset_id"),
         _text("d.title").alias("dataset_title"), F.posexplode("d.distribution").alias("idx", "dist"))
     node = F.col("dist.Distribution")
@@ -99,7 +108,7 @@ def catalog_files(parsed: DataFrame) -> DataFrame:
 
 
 def catalog_datasets(parsed: DataFrame) -> DataFrame:
-    """One row per dataset with every catalogue field."""
+    """One row per readable dataset with every catalogue field."""
     nodes = F.coalesce(F.col("d.distribution"), F.array())
     themes = F.filter(F.transform(
         F.col("d.theme"), lambda t: F.coalesce(F.trim(t["_resource"]), F.trim(t["_VALUE"]), F.lit(""))),
@@ -114,7 +123,7 @@ def catalog_datasets(parsed: DataFrame) -> DataFrame:
     duration = "d.accrualPeriodicity.Frequency.value.DurationDescription"
     contact = F.when(_resource("d.contactPoint") != "", _resource("d.contactPoint")).when(
         F.col("d.contactPoint").isNotNull(), "presente").otherwise("")
-    return parsed.select(
+    return parsed.filter("d.malformed is null").select(
         "source", "dataset_index", F.coalesce("d._about", F.lit("")).alias("dataset_id"),
         _text("d.title").alias("title"), _text("d.description").alias("description"),
         themes.alias("themes"), category_of(themes).alias("category"), keywords.alias("keywords"),

@@ -113,9 +113,6 @@ def guess_delimiters(lines: DataFrame, order: tuple[str, ...] = ("row_no",)) ->
     return best.select("file_id", F.get(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("rank")).alias("sep"))
 
 
-MAX_RECORD_LINES = 10_000
-
-
 def _quote_transition(line: Column, sep: Column) -> tuple[Column, Column]:
     """Is a quoted cell open after the line, if none / one was open before it?"""
     other = F.concat(F.lit("[^"), sep, F.lit("]"))
@@ -128,7 +125,7 @@ def _quote_transition(line: Column, sep: Column) -> tuple[Column, Column]:
     return (F.when(quoted, from_outside).otherwise(False), F.when(quoted, stays | reopens).otherwise(True))
 
 
-def join_quoted_lines(placed: DataFrame, max_lines: int = MAX_RECORD_LINES) -> DataFrame:
+def join_quoted_lines(placed: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Lines of one record joined by line feeds; ``row_no`` is the first of them.
 
     Whether a line starts inside a quoted cell follows from the lines before
@@ -138,8 +135,9 @@ def join_quoted_lines(placed: DataFrame, max_lines: int = MAX_RECORD_LINES) -> D
     holds is settled on the table of splits.  So no file is read in one task.
     The flagged lines are written once, everything else starts from there.
 
-    A record longer than ``max_lines`` is an unclosed quote: its lines stay
-    rows of their own.
+    A record still open at the end of its file is an unclosed quote: its lines
+    stay rows of their own.  So do those of records of ``max_lines`` and more,
+    where a limit is given.
     """
     after0, after1 = _quote_transition(F.col("value"), F.col("sep"))
     flagged = placed.withColumns({"a0": after0, "a1": after1}).withColumns({
@@ -182,8 +180,14 @@ def join_quoted_lines(placed: DataFrame, max_lines: int = MAX_RECORD_LINES) -> D
     }).select(*text, "inside", "first")
     inner = based.filter("inside").groupBy("file_id", "first").agg(F.count(F.lit(1)).alias("n"))
     # Only continued records are gathered; all other lines pass as they are.
-    runaway = inner.filter(F.col("n") >= max_lines).select("file_id", "first", F.lit(True).alias("runaway"))
-    continued = inner.filter(F.col("n") < max_lines).select(
+    state = F.when(F.col("open"), F.col("e.out1")).otherwise(F.col("e.out0"))
+    endings = settled.withColumn("r", F.when(F.col("open"), F.col("r1")).otherwise(F.col("r0"))).groupBy("file_id").agg(
+        F.max_by(state, "block_start").alias("unclosed"), F.max("r").alias("first"))
+    runaway = endings.filter("unclosed").select("file_id", "first", F.lit(True).alias("runaway"))
+    if max_lines is not None:
+        long = inner.filter(F.col("n") >= max_lines).select("file_id", "first", F.lit(True).alias("runaway"))
+        runaway = runaway.unionByName(long).distinct()
+    continued = inner.join(runaway, ["file_id", "first"], "left_anti").select(
         "file_id", F.col("first").alias("row_no"), F.lit(True).alias("continued"))
     heads = based.filter("not inside").join(continued, ["file_id", "row_no"], "left")
     tails = join_by_key(based.filter("inside"), runaway, ["file_id", "first"], "row_no", "left", inner)

@@ -164,7 +164,11 @@ def csv_lines(df: DataFrame, header: list[str], columns: list[Column], delimiter
 
 
 def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, delimiter: str = ";") -> None:
-    """Spreadsheet-safe CSV; every part file opens on its own."""
+    """Spreadsheet-safe CSV; every part file opens on its own, and an empty table gives its header."""
     names = columns or df.columns
     lines = csv_lines(df, names, [F.col(c).cast("string") for c in names], delimiter)
     lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    spark = df.sparkSession
+    if spark.read.text(path).isEmpty():
+        head = spark.range(1).select(F.lit("\ufeff" + delimiter.join(names)).alias("value"))
+        head.coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)

@@ -185,3 +185,13 @@ def test_incremental_plan(spark):
         same="same", new="new", title="changed", fmt="changed", more="changed", less="changed", gone="removed")
     urls = {r.url for r in RU.forced_urls(cur.withColumn("file_id", F.monotonically_increasing_id()), plan).collect()}
     assert urls == set("bcdefg")
+
+
+def test_catalogue_repairs_and_rejects(spark, tmp_path):
+    dataset = '<dcat:Dataset rdf:about="{0}" p:q="1" p:r="2" p:s="3" p:t="4" p:u="5"><dct:title>{1}</dct:title>{2}</dcat:Dataset>\n'
+    (tmp_path / "c.rdf").write_text("<rdf:RDF>\n" + dataset.format("one", "Bread & milk", "") + dataset.format("two", "x", "<dct:issued>") + dataset.format("three", "y", "") + "</rdf:RDF>\n")
+    parsed = catalog_xml.parse_datasets(catalog_xml.dataset_fragments(spark, str(tmp_path)))
+    got = sorted((r.dataset_id, r.title) for r in catalog_xml.catalog_datasets(parsed).collect())
+    assert got == [("one", "Bread & milk"), ("three", "y")]
+    lost = catalog_xml.rejected_datasets(parsed).collect()
+    assert [r.dataset_index for r in lost] == [1] and "two" in lost[0].xml

@@ -205,3 +205,13 @@ def test_cells_of_any_length(spark, tmp_path):
     one = len(big) - 40_000
     assert sizes == {2: one, 3: 2 * one + 1, 5: 300_000}
     assert DF.audit_rows(rows, headers)["findings"].count() == 0
+
+
+def test_quoted_records_of_any_number_of_lines(spark, tmp_path):
+    long = "\n".join(str(i) for i in range(12_000))
+    write(tmp_path, "a.csv", f'a;b\n1;"{long}"\n2;x\n')
+    write(tmp_path, "b.csv", 'a;b\n1;"two\nlines"\n2;"never closed\n3;x\n')
+    rows, _headers = DL.read_delimited(spark, str(tmp_path), sep=";", multiline=True)
+    got = sorted((r.file_id[-5:], r.row_no, r.n) for r in rows.select("file_id", "row_no", F.length(F.get("tokens", F.lit(1))).alias("n")).collect())
+    assert [g[:2] for g in got] == [("a.csv", 2), ("a.csv", 12_002), ("b.csv", 2), ("b.csv", 4), ("b.csv", 5)]
+    assert got[0][2] == len(long) and got[2][2] == len("two\nlines")

@@ -93,3 +93,9 @@ def test_stream_audits_new_files_once(spark, tmp_path):
                    "/c.bin": ("texto", "archivo-vacio", True)}
     # The same key arriving in another file does not get a second result.
     assert spark.read.parquet(target).groupBy("path").count().filter("count > 1").count() == 0
+
+
+def test_empty_export_has_its_header(spark, tmp_path):
+    RP.export_csv(spark.createDataFrame([], "a string, b int"), str(tmp_path / "out"))
+    data = b"".join(open(p, "rb").read() for p in glob.glob(str(tmp_path / "out" / "part-*")))
+    assert data == "﻿a;b\r\n".encode("utf-8")
