@@ -34,16 +34,18 @@ from sievework.llm.tokens import IdEncoder
 
 END_ID = 1
 #: Ids of a block, and blocks of a segment.
-BLOCK, SEGMENT_BLOCKS = 2048, 4096
+BLOCK, SEGMENT_BLOCKS = 512, 16384
 CLASSES, STEP = 64, 24
 _MAGIC, _HEAD = b"SWIDS1\n\0", "<8sQQQIIII"
-_BITS1, _BITS2 = 10, 11
+_BITS1, _BITS2 = 8, 9
 _SCALE = 1 << 18
 _MASK = (1 << 48) - 1
 
 
-def _u(x: int) -> np.uint64:
-    return np.uint64(x)
+#: What an id of each class adds to the running counts of all classes.
+_ADDED = (np.arange(CLASSES + 1) > np.arange(CLASSES)[:, None]).astype(np.uint16) * np.uint16(STEP)
+_ONE, _WORD, _TWO_WORDS, _MASK48 = np.uint64(1), np.uint64(16), np.uint64(32), np.uint64(_MASK)
+_SHORT, _CUT, _LOW32, _LOW16 = np.uint64(1 << 20), np.uint64(1 << 32), np.uint64(0xFFFFFFFF), np.uint64(0xFFFF)
 
 
 class _Order0:
@@ -100,7 +102,7 @@ class _Models:
         self.last[:lanes] = ids
 
     def count(self, rows: np.ndarray, classes: np.ndarray) -> None:
-        self.counts[rows] += np.uint16(STEP) * (np.arange(CLASSES + 1) > classes[:, None])
+        self.counts[rows] += _ADDED[classes]
 
 
 class _Coder:
@@ -112,39 +114,48 @@ class _Coder:
         self.code = np.zeros(lanes, np.uint64)
         if decode:
             for _ in range(3):
-                self.code = self.code << _u(16) | words[np.arange(lanes), self.at]
+                self.code = self.code << _WORD | words[np.arange(lanes), self.at]
                 self.at += 1
 
-    def target(self, rows: np.ndarray, total) -> np.ndarray:
-        self.unit = self.width[rows] // total
-        return np.minimum((self.code[rows] - self.low[rows]) // self.unit, total - _u(1))
+    def _unit(self, rows: np.ndarray | slice, total: np.ndarray | None) -> np.ndarray:
+        """Width of one of ``total`` parts of the interval (of 65536 if not given)."""
+        return self.width[rows] >> _WORD if total is None else self.width[rows] // total
 
-    def step(self, rows: np.ndarray, start: np.ndarray, size: np.ndarray, total) -> None:
-        unit = self.unit if self.decode else self.width[rows] // total
+    def target(self, rows: np.ndarray | slice, total: np.ndarray | None = None) -> np.ndarray:
+        self.unit = self._unit(rows, total)
+        return np.minimum((self.code[rows] - self.low[rows]) // self.unit, _LOW16 if total is None else total - _ONE)
+
+    def step(self, rows: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray | None = None) -> None:
+        """Narrow the intervals of ``rows`` (a slice: the first lanes) and move settled words."""
+        unit = self.unit if self.decode else self._unit(rows, total)
         low, width = self.low[rows] + start * unit, size * unit
         self.low[rows], self.width[rows] = low, width
+        first = isinstance(rows, slice)
         while True:
-            same = (low ^ (low + width)) >> _u(32) == 0
-            short = ~same & (width < _u(1 << 20))
+            same = (low ^ (low + width)) < _CUT
+            short = width < _SHORT
+            short &= ~same
             if short.any():  # cut the interval at the next multiple of 2**32, so that its first word is settled
-                width = np.where(short, _u(1 << 32) - (low & _u(0xFFFFFFFF)), width)
+                width = np.where(short, _CUT - (low & _LOW32), width)
                 self.width[rows] = width
                 same |= short
-            if not same.any():
+            picked = np.flatnonzero(same)
+            if not len(picked):
                 return
-            rows, low, width = rows[same], low[same], width[same]
+            rows, low, width = picked if first else rows[picked], low[picked], width[picked]
+            first, at = False, self.at[rows]
             if self.decode:
-                self.code[rows] = (self.code[rows] << _u(16) & _u(_MASK)) | self.words[rows, self.at[rows]]
+                self.code[rows] = (self.code[rows] << _WORD & _MASK48) | self.words[rows, at]
             else:
-                self.words[rows, self.at[rows]] = low >> _u(32)
-            self.at[rows] += 1
-            low, width = low << _u(16) & _u(_MASK), width << _u(16)
+                self.words[rows, at] = low >> _TWO_WORDS
+            self.at[rows] = at + 1
+            low, width = low << _WORD & _MASK48, width << _WORD
             self.low[rows], self.width[rows] = low, width
 
     def finish(self) -> None:
         lanes = np.arange(len(self.low))
-        for k in (32, 16, 0):
-            self.words[lanes, self.at] = self.low >> _u(k) & _u(0xFFFF)
+        for k in (_TWO_WORDS, _WORD, np.uint64(0)):
+            self.words[lanes, self.at] = self.low >> k & _LOW16
             self.at += 1
 
 
@@ -153,23 +164,22 @@ def encode_blocks(ids: np.ndarray, order0: _Order0) -> tuple[np.ndarray, np.ndar
     lanes = -(-len(ids) // BLOCK)
     grid = np.zeros(lanes * BLOCK, np.uint16)
     grid[:len(ids)] = ids
-    grid = grid.reshape(lanes, BLOCK)
+    grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     models = _Models(lanes)
     coder = _Coder(lanes, np.zeros((lanes, BLOCK * 4 + 8), np.uint16))
     full, rest = lanes - 1, len(ids) - (lanes - 1) * BLOCK
-    scale = _u(65536)
     for k in range(BLOCK):
         n = lanes if k < rest else full
         if n == 0:
             break
-        own, rows = grid[:n, k].astype(np.uint32), models.lane[:n]
+        own, rows = grid[k, :n].astype(np.uint32), slice(0, n)
         one, width1, two, width2 = models.propose(n)
         hit2 = (own == two) & (width2 > 0)
         hit1 = ~hit2 & (own == one) & (width1 > 0)
         miss = ~(hit2 | hit1)
         start = np.where(hit2, 0, np.where(hit1, width2, width2 + width1)).astype(np.uint64)
         size = np.where(hit2, width2, np.where(hit1, width1, 65536 - width2 - width1)).astype(np.uint64)
-        coder.step(rows, start, size, scale)
+        coder.step(rows, start, size)
         open_rows = np.flatnonzero(miss)
         if len(open_rows):
             own_ids = own[open_rows].astype(np.int64)
@@ -192,28 +202,27 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, n_ids: int, order0: _Orde
     grid = np.zeros((lanes, int(used.max(initial=0)) + 8), np.uint16)
     for k in range(lanes):
         grid[k, :used[k]] = words[ends[k] - used[k]:ends[k]]
-    out = np.zeros((lanes, BLOCK), np.uint16)
+    out = np.zeros((BLOCK, lanes), np.uint16)
     models, coder = _Models(lanes), _Coder(lanes, grid, True)
     full, rest = lanes - 1, n_ids - (lanes - 1) * BLOCK
-    scale = _u(65536)
     for k in range(BLOCK):
         n = lanes if k < rest else full
         if n == 0:
             break
-        rows = models.lane[:n]
+        rows = slice(0, n)
         one, width1, two, width2 = models.propose(n)
-        target = coder.target(rows, scale).astype(np.int64)
+        target = coder.target(rows).astype(np.int64)
         hit2 = target < width2
         hit1 = ~hit2 & (target < width2 + width1)
         start = np.where(hit2, 0, np.where(hit1, width2, width2 + width1)).astype(np.uint64)
         size = np.where(hit2, width2, np.where(hit1, width1, 65536 - width2 - width1)).astype(np.uint64)
-        coder.step(rows, start, size, scale)
+        coder.step(rows, start, size)
         ids = np.where(hit2, two, one)
         open_rows = np.flatnonzero(~(hit2 | hit1))
         if len(open_rows):
             counts = models.counts[open_rows]
             total = counts[:, CLASSES].astype(np.uint64)
-            kind = (counts <= coder.target(open_rows, total)[:, None]).sum(axis=1) - 1
+            kind = (counts > coder.target(open_rows, total).astype(np.uint16)[:, None]).argmax(axis=1) - 1
             picked = np.arange(len(open_rows))
             low = counts[picked, kind].astype(np.uint64)
             coder.step(open_rows, low, counts[picked, kind + 1] - low, total)
@@ -222,9 +231,9 @@ def decode_blocks(words: np.ndarray, used: np.ndarray, n_ids: int, order0: _Orde
             found = order0.slot[slot.astype(np.int64)].astype(np.int64)
             coder.step(open_rows, order0.start[found] - order0.base[kind], order0.frequency[found], order0.total[kind])
             ids[open_rows] = found
-        out[:n, k] = ids
+        out[k, :n] = ids
         models.learn(ids)
-    return out.reshape(-1)[:n_ids]
+    return out.T.reshape(-1)[:n_ids]
 
 
 def write_segment(out, doc_ids: list, lengths: list[int], ids: np.ndarray) -> None:
