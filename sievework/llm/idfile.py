@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.files import create, new_file, open_file
-from sievework.llm.shared import scratch_path, slices, written
+from sievework.llm.shared import dealt, scratch_path, slices, written
 from sievework.llm.tokens import IdEncoder
 
 END_ID = 1
@@ -320,7 +320,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
 def read_ids(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of every document of the files."""
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
-    based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).repartition("part")
+    based = dealt(manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))))
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

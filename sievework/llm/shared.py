@@ -28,6 +28,15 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def dealt(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Few small rows that each stand for much work (files, byte ranges): a task for each.
+
+    Dealt by a key, so little data would be put together in one task again.
+    Beyond ``most`` tasks, rows share one.
+    """
+    return rows.repartition(min(max(rows.count(), 1), most))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through the file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
