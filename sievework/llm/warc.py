@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.files import create, new_file, open_file
-from sievework.llm.shared import scratch_path, text_bytes, written
+from sievework.llm.shared import dealt, scratch_path, text_bytes, written
 
 LEAST_REVISIT = 100
 #: Bytes of a range a task reads, and of one read call.
@@ -157,7 +157,7 @@ def read_archives(manifest: DataFrame, split: int = SPLIT, with_payload: bool =
     must agree with the header, else the job fails.
     """
     ranges = manifest.select("path", "size", F.explode(F.sequence(F.lit(0), F.col("size") - 1, F.lit(split))).alias("start"))
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split, "size").alias("end")).repartition("path", "start")
+    ranges = dealt(ranges.select("path", "start", F.least(F.col("start") + split, "size").alias("end")))
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
              ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload
 
