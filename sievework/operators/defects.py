@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import cells as C
 from sievework.functions.issues import score_outcome
+from sievework.functions.json_text import computed
 from sievework.operators import issues as IO
 from sievework.operators import profile as P
 from sievework.operators.groups import BLOCK_WIDTH, block_of, repeats
@@ -126,14 +127,14 @@ def blank_labels(headers: DataFrame) -> DataFrame:
 def duplicate_labels(headers: DataFrame) -> DataFrame:
     """Second and later columns of the same name (trimmed, any case).
 
-    Works inside the header array: a name is a repeat when the same name
-    stands earlier in it.
+    Works inside the header array: sorted by name and column, a repeat follows
+    a column of its name.
     """
-    names = F.transform("header", lambda h: F.lower(C.strip(h)))
-    labelled = headers.select("file_id", "sheet", names.alias("names"), F.posexplode("header").alias("col", "label"))
-    name = F.get(F.col("names"), F.col("col"))
-    earlier = F.array_position(F.col("names"), name) <= F.col("col")
-    return labelled.filter((name != "") & earlier).select(
+    ordered = F.array_sort(F.transform("header", lambda h, i: F.struct(
+        F.lower(C.strip(h)).alias("name"), i.alias("col"), h.alias("label"))))
+    sorted_once = computed(headers.select("file_id", "sheet", "header"), {"__o": ordered})
+    repeats_only = F.filter("__o", lambda e, i: (e["name"] != "") & (F.get(F.col("__o"), i - 1)["name"] == e["name"]))
+    return sorted_once.select("file_id", "sheet", F.inline(repeats_only)).select(
         "file_id", F.lit("encabezado-duplicado").alias("code"), "sheet", "col",
         F.col("label").alias("field"), F.lit(1).cast("bigint").alias("row_no"), F.col("label").alias("cell"))
 

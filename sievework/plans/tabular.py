@@ -426,6 +426,23 @@ def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.sample_rows(rows).select("row_no", F.array_join("tokens", "|").alias("tokens"))
 
 
+@register("header_findings", f"""
+with labels as (
+  select cast(doc_id as varchar) as file_id, unnest(header) as label, cast(generate_subscripts(header, 1) - 1 as int) as col
+  from (select doc_id, string_split(split_part(text, chr(10), 1), ' ') as header from documents)),
+named as (select *, lower(trim(label, '{C.WHITESPACE}')) as name from labels),
+numbered as (select *, row_number() over (partition by file_id, name order by col) as k from named)
+select file_id, 'encabezado-vacio' as code, col, label as field from numbered where name = '' or regexp_full_match(label, 'Columna [0-9]+')
+union all
+select file_id, 'encabezado-duplicado', col, label from numbered where name <> '' and k > 1""")
+def header_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of every document as the labels of a table: those that are blank and those that repeat."""
+    first = F.split(F.substring_index("text", "\n", 1), " ")
+    headers = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.lit("").alias("sheet"), first.alias("header"))
+    found = DF.blank_labels(headers).unionByName(DF.duplicate_labels(headers))
+    return found.select("file_id", "code", F.col("col").cast("int").alias("col"), "field")
+
+
 @register("text_files", """
 select lang, cast(sum(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''))) as bigint) as lines, true as readable
 from documents group by lang""")

@@ -87,12 +87,16 @@ def to_detail(results: DataFrame) -> DataFrame:
         a["schema"].alias("schema"), a["sample_rows"].alias("sample_rows"))
 
 
-def write_report(results: DataFrame, path: str) -> None:
-    """Write index and detail; the previous report at the path is replaced."""
+def write_report(results: DataFrame, path: str, files_per_prefix: int = 16) -> None:
+    """Write index and detail; the previous report at the path is replaced.
+
+    Details are dealt by prefix first, so that not every task writes a file for
+    each prefix; a prefix is spread over ``files_per_prefix`` files at most.
+    """
     to_index(results).write.mode("overwrite").parquet(f"{path}/index")
     detail = to_detail(results).withColumn("prefix", F.substring("id", 1, 2))
-    # 256 prefixes of a hash are even; several tasks may share one.
-    detail.write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/detail")
+    share = F.pmod(F.xxhash64("id"), F.lit(files_per_prefix))
+    detail.repartition("prefix", share).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/detail")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
