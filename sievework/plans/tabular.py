@@ -379,12 +379,14 @@ def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("encodings", """
-select doc_id, case when doc_id % 3 = 2 and regexp_matches(text, '[^\\x00-\\x7F]') then 'cp1252' else 'utf-8' end as encoding
-from documents where not regexp_matches(text, '[^\\x00-\\xFF]')""")
+select doc_id, case when doc_id % 3 = 2 and regexp_matches(text, '[^\\x00-\\x7F]') and not regexp_matches(text, '[^\\x00-\\xFF]')
+  then 'cp1252' else 'utf-8' end as encoding
+from documents""")
 def encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoding of each document's bytes; every third is stored as ISO-8859-1."""
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[^\\x00-\\xFF]"))
-    content = F.when(F.col("doc_id") % 3 == 2, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    """Encoding of each document's bytes; every third that can be is stored as ISO-8859-1, the others as UTF-8."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    single = (F.col("doc_id") % 3 == 2) & ~F.col("text").rlike("[^\\x00-\\xFF]")
+    content = F.when(single, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return docs.select("doc_id", detect_encoding(content).alias("encoding"))
 
 
