@@ -29,10 +29,11 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def dealt(rows: DataFrame, most: int = 100_000) -> DataFrame:
-    """Few small rows that each stand for much work (files, byte ranges): a task for each.
+    """Few small rows that each stand for much work (files, byte ranges), dealt in turn to as many tasks as rows.
 
-    Dealt by a key, so little data would be put together in one task again.
-    Beyond ``most`` tasks, rows share one.
+    Dealt by a key without a number, so little data would be put together in
+    one task again.  Rows of several input tasks may meet in one; beyond
+    ``most`` tasks they always do.
     """
     return rows.repartition(min(max(rows.count(), 1), most))
 

@@ -301,3 +301,14 @@ def test_multiset(docs, none, rows):
     assert multiset.fingerprints(none).count() == 0
     a, b = multiset.fingerprint("one two\nthree"), multiset.fingerprint("three\none two")
     assert a.hex() == b.hex() and a.minus(multiset.fingerprint("three")).hex() == multiset.fingerprint("one two").hex()
+
+
+def test_small_rows_are_dealt_to_tasks(spark):
+    from sievework.llm.shared import dealt
+
+    for start in (spark.range(5), spark.range(0, 5, 1, 1)):
+        files = dealt(start)
+        assert files.rdd.getNumPartitions() == 5 and sorted(r.id for r in files.collect()) == list(range(5))
+    assert len({r.task for r in dealt(spark.range(0, 5, 1, 1)).selectExpr("spark_partition_id() as task").collect()}) == 5
+    assert dealt(spark.range(9), most=2).rdd.getNumPartitions() == 2
+    assert dealt(spark.range(0)).count() == 0
