@@ -213,27 +213,40 @@ def links(prints: DataFrame, radius: int = RADIUS, width: int = WIDTH) -> DataFr
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a bigint, b bigint")
 
 
-def near_duplicates(
+def classes(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WIDTH,
 ) -> DataFrame:
-    """(doc_id, mark, fingerprint, component_id) of every row; component_id is the smallest id reachable by links."""
+    """(doc_id, mark, fp, component, component_id) of every row; component is the class's smallest fingerprint."""
     marked, _ = written(fingerprints(docs, doc_id, text), "simhash")
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     linked = components(links(distinct, radius, width))
     named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
+    return marked.join(named.select("fp", "component").join(least, "component"), "fp").select(
+        "doc_id", "mark", "fp", "component", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = WIDTH,
+) -> DataFrame:
+    """(doc_id, mark, fingerprint, component_id) of every row; component_id is the smallest id reachable by links."""
+    return classes(docs, doc_id, text, radius, width).select(
         "doc_id", "mark", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class of near copies: that of the smallest id, the first of repeated rows."""
-    found = near_duplicates(docs, doc_id, text, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "component_id").distinct()
-    # A class whose smallest id has several texts keeps the one of the smallest hash.
-    kept = found.groupBy("__id", "component_id").agg(F.min("__mark").alias("__mark")).select("__id", "__mark")
+def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each class in ``found`` (doc_id, mark, component): that of the smallest id, null last.
+
+    Where that id has several texts in the class, the one of the smallest hash stays; of repeated rows, the first.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")))
+    kept = found.groupBy("component").agg(first.alias("first")).select("first.__id", "first.__mark")
     same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__mark"))
     turn = F.row_number().over(Window.partitionBy(F.col("__id"), F.col("__mark")).orderBy("__mark"))
     return docs.join(kept, same).withColumn("__turn", turn).filter("__turn = 1").select(*[docs[c] for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of near copies."""
+    return one_of_each(docs, classes(docs, doc_id, text, **options), doc_id, text)

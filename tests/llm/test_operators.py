@@ -223,6 +223,15 @@ def test_simhash(docs, none, rows):
     assert simhash.keep_one(docs).count() == len(set(least.values()))
 
 
+def test_one_row_of_each_class_whatever_its_id(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(40)) for _ in range(9)]
+    ids = [None, None, None, 5, 5, 6, None, 7, 7]
+    table = spark.createDataFrame([*zip(ids, texts), (None, texts[0]), (4, texts[1]), (5, texts[3])], "doc_id bigint, text string")
+    want = [(4 if k == 1 else i, t) for k, (i, t) in enumerate(zip(ids, texts))]
+    assert sorted(map(tuple, simhash.keep_one(table).collect()), key=str) == sorted(want, key=str)
+
+
 def test_bit_sliced_pairs():
     rng = np.random.default_rng(5)
     prints = rng.integers(-1 << 63, 1 << 63, 60)
