@@ -5,12 +5,12 @@ training texts.  A text's code length under a language is exact: at each byte
 the longest known context predicts it, or escapes to the next shorter one
 (method C: as many escapes as the context has different followers), down to
 256 equally likely bytes.  The statistics are frozen after training, so every
-(context, byte) has one cost per language; they are put into tables, and a
-text is scored by look-ups over all of its bytes.  The shortest code wins.
+(context, byte) has one cost per language; a text's strings of four bytes are
+looked up once for each different one in a batch.  The shortest code wins.
 
-Counts are aggregated in the tasks and by Spark.  What is gathered is bounded:
-for the orders 2 and 3 the ``MAX_CONTEXTS`` most frequent contexts; rarer ones
-fall back to the next order, as a pruned tree does.
+Counts are aggregated in the tasks and by Spark.  All counted contexts of all
+256 byte values are kept, in sorted arrays of each language's own; what is
+gathered grows with the different strings of four bytes, not with the text.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
 without training texts everything is; ties go to the first name in order; a
@@ -30,10 +30,6 @@ from pyspark.sql import functions as F
 from sievework.llm.shared import fold, slices, text_bytes, written
 
 ORDER = 3
-MAX_CONTEXTS = 16_000
-#: Byte values with a symbol of their own; the rest share one.
-MAX_SYMBOLS = 126
-_CONTEXTS = 1000
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -77,117 +73,72 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "code", "n"])
 
 
+def _at(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted array, and whether they are there."""
+    place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return place, known[place] == wanted
+
+
 class Trees:
-    """Frozen costs in bits: [context, symbol, language] for every order."""
+    """Frozen costs in bits: for every language and order sorted (string, cost) and (context, escape)."""
 
-    def __init__(self, langs: list[str], cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``cells[k]``: (code, language number, count) of order k; code is the context's bytes and the byte."""
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        """``counts[k]``: (code, count) of language k; code is the three context bytes and the byte."""
         self.langs = langs
-        count = len(langs)
-        code0, _, n0 = cells[0]
-        usual = np.bincount(code0, n0, 256)
-        usual[0] = 0
-        chosen = np.argsort(-usual, kind="stable")[:MAX_SYMBOLS]
-        chosen = np.sort(chosen[usual[chosen] > 0])
-        # Symbol 0 is the padding, 1 all other bytes.
-        self.symbol = np.ones(256, np.int64)
-        self.symbol[0] = 0
-        self.symbol[chosen] = np.arange(2, len(chosen) + 2)
-        size = self.size = len(chosen) + 2
-        base = np.full((1, size, count), 8.0, np.float32)
-        lower, lower_of = base, None
-        self.tables = []
-        for order, (code, lang, n) in enumerate(cells):
-            symbol, context = self.symbol[code & 0xFF], np.zeros(len(code), np.int64)
-            for k in range(order, 0, -1):
-                context = context * size + self.symbol[code >> (8 * k) & 0xFF]
-            known, own = np.unique(context, return_inverse=True)
-            # A context keeps its last order - 1 bytes in the shorter tree; where that was pruned, the one below serves.
-            shorter = known % size ** max(order - 1, 0)
-            above = shorter if lower_of is None else lower_of[shorter]
-            gone = np.flatnonzero(above < 0)
-            cost = np.empty((len(known), size, count), np.float32)
-            by_context = np.argsort(own, kind="stable")
-            bounds = np.searchsorted(own[by_context], np.arange(0, len(known) + _CONTEXTS, _CONTEXTS))
-            for k, (a, b) in enumerate(zip(bounds, bounds[1:])):  # some contexts at a time: the counts are wide
-                rows, cells_of = slice(k * _CONTEXTS, min(len(known), (k + 1) * _CONTEXTS)), by_context[a:b]
-                table = np.zeros((len(cost[rows]), size, count))
-                np.add.at(table, (own[cells_of] - k * _CONTEXTS, symbol[cells_of], lang[cells_of]), n[cells_of])
-                near = lower[above[rows]]
-                lost = gone[(gone >= rows.start) & (gone < rows.stop)]
-                if len(lost):
-                    near[lost - rows.start] = self.tables[1][1][known[lost] % size]
-                cost[rows] = self._costs(table, near)
-            if order >= 2:  # one more row for contexts that are not known
-                index = np.full(size ** order, -1, np.int32)
-                index[known] = np.arange(len(known))
-            else:
-                full = np.broadcast_to(base if order == 0 else lower, (size ** order, size, count)).copy()
-                full[known] = cost
-                cost, index = full, None
-            self.tables.append((index, cost))
-            lower, lower_of = cost, index
+        self.levels = [[self._level(code, n, order) for order in range(ORDER + 1)] for code, n in counts]
 
     @staticmethod
-    def _costs(table: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Bits of every symbol after counted contexts, given those of the next shorter contexts."""
-        total, followers = table.sum(axis=1), (table > 0).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(total > 0, -np.log2(np.where(total > 0, followers / (total + followers), 1)), 0)[:, None, :]
-            direct = -np.log2(table / (total + followers)[:, None, :])
-        return np.where(table > 0, direct, escape + shorter)
+    def _level(code: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarray, ...]:
+        codes, place = np.unique((code & (1 << 8 * (order + 1)) - 1).astype(np.uint32), return_inverse=True)
+        own = np.bincount(place, n)
+        contexts, of = np.unique(codes >> 8, return_inverse=True)
+        followers, total = np.bincount(of), np.bincount(of, own)
+        escape = -np.log2(followers / (total + followers))
+        return codes, -np.log2(own / (total + followers)[of]), contexts, escape
+
+    def costs(self, code: np.ndarray, language: int) -> np.ndarray:
+        """Bits of the last byte of every code after the three before it."""
+        out, open_ = np.zeros(len(code)), np.arange(len(code))
+        for order in range(ORDER, -1, -1):
+            codes, direct, contexts, escape = self.levels[language][order]
+            own = code[open_] & np.uint32((1 << 8 * (order + 1)) - 1)
+            if not len(codes) or not len(own):
+                continue
+            place, there = _at(codes, own)
+            out[open_[there]] += direct[place[there]]
+            open_, own = open_[~there], own[~there]
+            place, there = _at(contexts, own >> 8)
+            out[open_[there]] += escape[place[there]]
+        out[open_] += 8
+        return out
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of every text under every language."""
-        text, starts = _padded(data, offsets)
-        symbol = self.symbol[text]
-        size, count = self.size, len(self.langs)
-        sums = np.zeros((len(offsets) - 1, count))
+        sums = np.zeros((len(offsets) - 1, len(self.langs)))
         if not len(data):
             return sums
-        s = symbol[ORDER:]
-        near = symbol[ORDER - 1:-1]
-        two = symbol[ORDER - 2:-2] * size + near
-        three = symbol[:-ORDER] * size * size + two
-        (_, one_cost), (two_of, two_cost), (three_of, three_cost) = self.tables[1:]
-        row = three_of[three]
-        cost = np.empty((len(s), count), np.float32)
-        known = row >= 0
-        cost[known] = three_cost[row[known], s[known]]
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            row = two_of[two[rest]]
-            known = row >= 0
-            cost[rest[known]] = two_cost[row[known], s[rest[known]]]
-            rest = rest[~known]
-            cost[rest] = one_cost[near[rest], s[rest]]
-        cost[s == 0] = 0
+        text, starts = _padded(data, offsets)
+        code = np.ndarray((len(text) - ORDER,), ">u4", np.ascontiguousarray(text), strides=(1,)).astype(np.uint32)
+        code, place = np.unique(code, return_inverse=True)
         filled = np.flatnonzero(np.diff(offsets))
-        sums[filled] = np.add.reduceat(cost, starts[filled] - ORDER, axis=0, dtype=np.float64)
+        # Padding lies in front of each text only; its bytes and NULs cost nothing.
+        for k in range(len(self.langs)):
+            cost = np.where((code & np.uint32(0xFF)) == 0, 0, self.costs(code, k))
+            sums[filled, k] = np.add.reduceat(cost[place], starts[filled] - ORDER)
         return sums
 
 
-def train(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Trees | None:
+def train(docs: DataFrame) -> Trees | None:
     """Trees from all (text, lang) rows given."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     counts = rows.mapInArrow(_count_rows, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts, _ = written(counts, "contexts")
-    cells = []
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
-    for order in range(ORDER + 1):
-        part = counts.select("lang", "n", F.col("code").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("code"))
-        part = part.groupBy("lang", "code").agg(F.sum("n").alias("n")) if order < ORDER else part
-        if order >= 2:
-            context = F.shiftright("code", 8)
-            most = part.groupBy(context.alias("context")).agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "context").limit(max_contexts)
-            part = part.join(F.broadcast(most), context == F.col("context"))
-        found = part.select("lang", F.col("code"), "n").toPandas()
-        cells.append((found["code"].to_numpy(np.int64), np.searchsorted(np.array(langs, object), found["lang"].to_numpy(object)),
-                      found["n"].to_numpy(np.float64)))
-    return Trees(langs, cells)
+    found = [counts.filter(F.col("lang") == name).select("code", "n").toPandas() for name in langs]
+    return Trees(langs, [(f["code"].to_numpy(np.int64), f["n"].to_numpy(np.float64)) for f in found])
 
 
 def predict(docs: DataFrame, trees: "Trees | None", doc_id: str = "doc_id", text: str = "text") -> DataFrame:

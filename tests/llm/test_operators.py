@@ -297,6 +297,39 @@ def test_language_code_lengths_are_exact(spark):
             assert bits == pytest.approx(want, rel=1e-5)
 
 
+def test_language_keeps_every_context(spark):
+    """A rare language beside one with more contexts than were kept, and all byte values."""
+    rng = random.Random(2)
+    draw = lambda n, lo, hi: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    hot = [draw(400, 0x20, 0x60) * 2 for _ in range(120)]
+    texts = {"hot": hot, "rare": ["".join(chr(c) for c in range(0x80, 0x2000, 7)), "каждый охотник желает знать"]}
+    model = language.train(spark.createDataFrame([(t, k) for k, v in texts.items() for t in v], "text string, lang string"))
+    tries = ["охотник знает", texts["rare"][0][200:260], hot[5][30:90], "".join(map(chr, range(1, 0x900, 5)))]
+    trees = {}
+    for k, own in texts.items():
+        counts = trees[k] = {}
+        for t in own:
+            b = b"\0\0\0" + t.encode()
+            for i in range(3, len(b)):
+                for o in range(4):
+                    of = counts.setdefault(b[i - o:i], {})
+                    of[b[i]] = of.get(b[i], 0) + 1
+    for text in tries:
+        data = np.frombuffer(text.encode(), np.uint8)
+        for k, bits in zip(model.langs, model.bits(data, np.array([0, len(data)]))[0]):
+            want, b = 0.0, b"\0\0\0" + text.encode()
+            for i in range(3, len(b)):
+                for o in (3, 2, 1, 0, -1):
+                    own = trees[k].get(b[i - o:i]) if o >= 0 else None
+                    if o < 0:
+                        want += 8
+                    elif own:
+                        want -= np.log2(own.get(b[i], len(own)) / (sum(own.values()) + len(own)))
+                        if b[i] in own:
+                            break
+            assert bits == pytest.approx(want, rel=1e-5)
+
+
 def test_multiset(docs, none, rows):
     got = multiset.fingerprints(docs).collect()
     ordered = sorted((r for r in rows if r[0] is not None), key=lambda r: -r[0]) + [r for r in rows if r[0] is None]
