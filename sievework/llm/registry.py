@@ -1,10 +1,10 @@
-"""Queries of the ten operators over the given tables."""
+"""Queries of the operators over the given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import embeddings, idfile, language, mixture, multiset, packing, quality, repeats, simhash, warc
+from sievework.llm import embeddings, idfile, language, mixture, multiset, packing, periodic, quality, repeats, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op10_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, a tenth of them given a periodic end, and digests of what is left."""
+    return periodic.run_digests(periodic.find_runs(periodic.with_periodic_ends(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_warc, op3_idfile, op4_mixture, op5_embeddings, op6_repeats, op7_simhash, op8_quality, op9_language, op10_multiset)}
+    op1_packing, op2_warc, op3_idfile, op4_mixture, op5_embeddings, op6_repeats, op7_simhash, op8_quality, op9_language, op10_multiset,
+    op13_periods)}
 SQL: dict[str, str] = {}
