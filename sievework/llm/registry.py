@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import embeddings, idfile, language, mixture, multiset, packing, periodic, quality, repeats, simhash, warc
+from sievework.llm import embeddings, fmindex, idfile, language, mixture, multiset, packing, periodic, quality, repeats, simhash, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,16 @@ def op10_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document under a window of ten benchmark words, and the items they are from."""
+    return fmindex.hit_digests(fmindex.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt on the first of their family of five."""
+    return trie.family_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, a tenth of them given a periodic end, and digests of what is left."""
     return periodic.run_digests(periodic.find_runs(periodic.with_periodic_ends(_table(spark, sf_dir, "documents"))))
@@ -74,5 +84,5 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_warc, op3_idfile, op4_mixture, op5_embeddings, op6_repeats, op7_simhash, op8_quality, op9_language, op10_multiset,
-    op13_periods)}
+    op11_decontaminate, op12_trie, op13_periods)}
 SQL: dict[str, str] = {}
