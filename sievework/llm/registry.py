@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.llm import embeddings, fmindex, idfile, language, mixture, multiset, packing, periodic, quality, repeats, simhash, trie, warc
+from sievework.llm import embeddings, fmindex, idfile, language, mixture, multiset, packing, periodic, quality, repeats, simhash, sql, trie, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,4 +85,5 @@ def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_warc, op3_idfile, op4_mixture, op5_embeddings, op6_repeats, op7_simhash, op8_quality, op9_language, op10_multiset,
     op11_decontaminate, op12_trie, op13_periods)}
-SQL: dict[str, str] = {}
+#: The others learn, encode or search beyond SQL; tests compare them with plain versions.
+SQL: dict[str, str] = {"op2_warc": sql.OP2, "op5_embeddings": sql.OP5, "op11_decontaminate": sql.OP11, "op12_trie": sql.OP12}
