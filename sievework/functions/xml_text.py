@@ -1,50 +1,106 @@
-"""XML documents held as text: one parse for all counts, and repair.
+"""XML documents held as text: a scan of their tags, and repair.
 
-XPath functions would parse a document once per count and fail the job on a
-malformed one, so counting is a small Arrow-batched helper around the
-standard library's parser.
+Everything is an expression over the document's row.  Spark's own XML parser
+decides whether a document is well formed up to the end of its root; tags are
+then read off by one regular expression, which is safe on a document that
+parses.  XPath would parse once per count and fail the job on a malformed one.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-COUNTS_TYPE = "ok boolean, root string, total int, counts map<string,int>"
+from sievework.functions.json_text import computed
 
+# What is no element: comments, CDATA sections (a bracket of theirs stays, as text), instructions, the document type.
+_ASIDE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\](\])>|<\?.*?\?>|<!DOCTYPE[^\[>]*+(?:\[.*?\]\s*+)?>"
+# A tag; possessive, so that neither many attributes nor long values cost stack.
+_TAG = r"""<[^<>"'!?]++(?:"[^"]*+"[^<>"']*+|'[^']*+'[^<>"']*+)*+>"""
+# Text between tags, up to where the next one opens, and values of attributes: what is left are names.
+_NOT_NAMES = r"""(>)[^<]*+|\s*+=\s*+(?:"[^"]*+"|'[^']*+')"""
+_CORRUPT = "_corrupt"
+# Prefixes that need no declaration.
+_BOUND = ("xml", "xmlns")
 
-def element_counts(text: Column) -> Column:
-    """(ok, root, total, counts by local name) of each document."""
 
-    # Nested, so that the workers get it by value and need no installed package.
-    def count(document):
-        from xml.parsers import expat
+def parses(text: Column) -> Column:
+    """Does Spark's XML parser accept the document up to the end of its root element?"""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
+    return F.from_xml(text, f"{_CORRUPT} string", options)[_CORRUPT].isNull()
 
-        counts: dict = {}
-        root: list = []
 
-        def start(name, _attributes):
-            if not root:
-                root.append("{%s}%s" % tuple(name.rsplit(" ", 1)) if " " in name else name)
-            local = name.rsplit(" ", 1)[-1]
-            counts[local] = counts.get(local, 0) + 1
+def _roots(tags: Column) -> Column:
+    """Elements at the top level of a list of tags, an end tag too many counting as one: depth below 2**32, roots above it."""
+    one = F.lit(1 << 32).cast("bigint")
+    final = F.aggregate(tags, F.lit(0).cast("bigint"), lambda state, tag: F.when(
+        tag.startswith("</"), state + F.when(state % one == 0, one).otherwise(-1)).otherwise(
+        state + F.when(state % one == 0, one).otherwise(0) + F.when(tag.endswith("/>"), 0).otherwise(1)))
+    return F.floor(final / one)
 
-        parser = expat.ParserCreate(encoding="utf-8", namespace_separator=" ")
-        parser.StartElementHandler = start
-        try:
-            parser.Parse(document.encode("utf-8"), True)
-        except expat.ExpatError:
-            return {"ok": False}
-        return {"ok": True, "root": root[0], "total": sum(counts.values()), "counts": counts}
 
-    @F.pandas_udf(COUNTS_TYPE)
-    def parse(batch: pd.Series) -> pd.DataFrame:
-        rows = [count(t) if isinstance(t, str) else {} for t in batch]
-        frame = pd.DataFrame(rows, columns=["ok", "root", "total", "counts"])
-        return frame.astype(object).where(frame.notna(), None)
+def _run_lengths(values: Column) -> Column:
+    """How often each value of a sorted array stands in it, as a map."""
+    last = F.size(values)
+    starts = F.when(last > 0, F.filter(F.sequence(F.lit(0), last - 1), lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1))))
+    return F.map_from_entries(F.transform(starts, lambda i, k: F.struct(
+        F.get(values, i).alias("key"), (F.coalesce(F.get(starts, k + 1), last) - i).alias("value"))))
 
-    return parse(text)
+
+def tag_scan(docs: DataFrame, text: str, out: str, mend: bool = False) -> DataFrame:
+    """Adds ``out``: (ok, mended, root, total, counts by local name) of each document.
+
+    ``root`` is ``{namespace}name``.  Not ok: what the parser rejects, more than
+    one root or text behind it, prefixes nobody declares.  Null text gives null.
+    With ``mend`` a document the parser rejects is repaired and tried again.
+    A prefix counts as declared wherever the document declares it, and entities
+    of a document type are not expanded, so their use is not well formed; the
+    parser's own limits (1 000 attributes of one tag, 1 000 levels) hold.
+    """
+    c = F.col
+    judged = computed(docs, {"__valid": F.when(c(text).isNotNull(), parses(c(text)))})
+    if mend:
+        judged = computed(judged, {"__mended": F.when(~c("__valid"), repair_xml(c(text)))})
+        judged = computed(judged, {"__again": F.when(c("__mended").isNotNull(), parses(c("__mended")))})
+        use = F.when(c("__valid"), c(text)).when(c("__again"), c("__mended"))
+    else:
+        use = F.when(c("__valid"), c(text))
+    used = computed(judged, {"__used": use})
+    aside = c("__used").contains("<!") | c("__used").contains("<?")
+    bare = computed(used, {"__bare": F.when(aside, F.regexp_replace("__used", _ASIDE, "$1")).otherwise(c("__used"))})
+    # No value of an attribute and no text holds a <, so every one left opens a tag.
+    read = computed(bare, {
+        "__elements": F.regexp_extract_all("__bare", F.lit(r"<([^\s/>]++)"), F.lit(1)), "__last": F.substring_index("__bare", "</", -1)})
+    # Wanted where there are colons, for prefixes.
+    named = computed(read, {"__names": F.when(c("__bare").contains(":"), F.regexp_replace("__bare", _NOT_NAMES, "$1"))})
+    tags = F.regexp_extract_all("__bare", F.lit(f"({_TAG})"), F.lit(1))
+    root = F.get("__elements", F.lit(0))
+    prefixes = F.regexp_extract_all("__names", F.lit(r"(?:<|\s)([^\s:/<>]++):"), F.lit(1))
+    declared = F.regexp_extract_all("__names", F.lit(r"\sxmlns:([^\s/<>]++)"), F.lit(1))
+    free = F.size(F.array_except(prefixes, F.concat(declared, F.array(*map(F.lit, _BOUND)))))
+    bound = F.when(c("__names").contains(":"), free == 0).otherwise(True)
+    # A root whose name stands once, and whose first end tag is the last of all, holds everything; otherwise tags are counted through.
+    closes = F.length("__bare") - F.length("__last") - 1 == F.instr(c("__bare"), F.concat(F.lit("</"), root))
+    lone = closes & (F.size(F.filter("__elements", lambda e: e == root)) == 1) & (
+        F.regexp_extract("__last", r"^([^\s>]++)\s*+>\s*+$", 1) == root)
+    single = F.when(lone, True).otherwise((_roots(tags) == 1) & c("__bare").rlike(f"(?:{_TAG})\\s*+$"))
+    known = c("__used").isNotNull()
+    prefix = F.when(F.instr(root, ":") > 0, F.concat(F.lit(":\\Q"), F.substring_index(root, ":", 1), F.lit("\\E"))).otherwise("")
+    uri = F.call_function("regexp_extract", F.regexp_extract("__bare", _TAG, 0), F.concat(
+        F.lit("\\sxmlns"), prefix, F.lit(r"""\s*=\s*(["'])(.*?)\1""")), F.lit(2))
+    settled = computed(named, {
+        "__ok": F.when(c(text).isNotNull(), F.when(known, bound & single).otherwise(False)),
+        "__uri": F.when(c("__bare").contains("xmlns"), uri).otherwise(""),
+        "__locals": F.sort_array(F.when(c("__names").contains(":"), F.transform("__elements", lambda e: F.substring_index(e, ":", -1)))
+                                 .otherwise(c("__elements")))})
+    local = F.substring_index(root, ":", -1)
+    facts = {
+        "root": F.when(c("__uri") != "", F.concat(F.lit("{"), c("__uri"), F.lit("}"), local)).otherwise(local),
+        "total": F.size("__elements"), "counts": _run_lengths(c("__locals"))}
+    mended = c("__ok") & ~c("__valid")
+    return computed(settled, {out: F.struct(
+        c("__ok").alias("ok"), mended.alias("mended"),
+        *[F.when(c("__ok"), value).alias(name) for name, value in facts.items()])}).select(*docs.columns, out)
 
 
 def repair_xml(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import json_text as J
 from sievework.functions import scores as S
-from sievework.functions.xml_text import element_counts, repair_xml
+from sievework.functions.xml_text import tag_scan
 from sievework.operators.groups import number_within, running_sum
 
 # Shapefile parts, inflation limits and GeoJSON types.
@@ -224,18 +224,10 @@ def _sum_counts(*names: str) -> Column:
 
 
 def xml_inventory(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Well-formedness, root, total elements and counts by local name.
-
-    A document is parsed once for all counts, and a second time only when it
-    needed repair.
-    """
-    first = docs.withColumn("__x", element_counts(F.col(text)))
-    again = first.withColumn("__y", element_counts(F.when(~F.col("__x.ok"), repair_xml(F.col(text)))))
-    use = F.when(F.col("__x.ok"), F.col("__x")).otherwise(F.col("__y"))
-    return again.withColumn("__u", use).select(
-        *docs.columns, F.col("__u.ok").alias("well_formed"),
-        (~F.col("__x.ok") & F.coalesce(F.col("__u.ok"), F.lit(False))).alias("repaired"),
-        F.col("__u.root").alias("root"), F.col("__u.total").alias("total_elements"), F.col("__u.counts").alias("counts"))
+    """Well-formedness, root, total elements and counts by local name, after repair where that was needed."""
+    return tag_scan(docs, text, "__x", mend=True).select(
+        *docs.columns, F.col("__x.ok").alias("well_formed"), F.col("__x.mended").alias("repaired"),
+        F.col("__x.root").alias("root"), F.col("__x.total").alias("total_elements"), F.col("__x.counts").alias("counts"))
 
 
 def entity_count(kind: Column) -> Column:
