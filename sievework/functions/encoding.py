@@ -65,3 +65,29 @@ def detect_encoding(content: Column) -> Column:
 
 def is_cp1252(encoding: Column) -> Column:
     return encoding == "cp1252"
+
+
+# Whole code units in hex digits, surrogates only in pairs; anything else is no such text.
+_UNITS = {
+    "utf_16_le": "^(?:..(?!D[89A-F])..|..D[89AB]..D[C-F])*+$",
+    "utf_16_be": "^(?:(?!D[89A-F])....|D[89AB]..D[C-F]..)*+$",
+    "utf_32_le": "^(?:(?!..D[89A-F])....(?:0[0-9A-F]|10)00)*+$",
+    "utf_32_be": "^(?:(?!0000D[89A-F])00(?:0[0-9A-F]|10)....)*+$",
+}
+
+
+def decode_text(content: Column) -> Column:
+    """Text of a whole file's bytes, whatever its encoding, without the mark.
+
+    Null where a mark promises UTF-16 or UTF-32 and the bytes do not keep it.
+    """
+    raw = content.cast("binary")
+    found = detect_encoding(raw)
+    out = F.when(found.isin("utf-8", "utf_8_sig"), strip_bom(raw.cast("string")))
+    for name, units in _UNITS.items():
+        size = 2 if "16" in name else 4
+        body = F.substr(raw, F.lit(size + 1))
+        kept = F.hex(body).rlike(units)
+        charset = f"UTF-16{name[-2:].upper()}" if size == 2 else "UTF-32"
+        out = out.when(found == name, F.when(kept, F.decode(body if size == 2 else raw, charset)))
+    return out.otherwise(decode_cp1252(raw))

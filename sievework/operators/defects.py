@@ -175,26 +175,39 @@ def findings_of(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return row_findings(rows).unionByName(blank_labels(headers)).unionByName(duplicate_labels(headers))
 
 
-def audit_rows(rows: DataFrame, headers: DataFrame, width: int = BLOCK_WIDTH) -> dict[str, DataFrame]:
+def table_row_cells(data: DataFrame) -> DataFrame:
+    """Cells of ragged rows, those beyond the header included: they are named by their place."""
+    name = F.coalesce(F.get(F.col("header"), F.col("col")), F.concat(F.lit("Col "), (F.col("col") + 1).cast("string")))
+    return data.select("file_id", "sheet", "row_no", F.size("header").alias("width"), "header", F.posexplode("tokens").alias("col", "raw")).select(
+        "file_id", "sheet", "col", name.alias("field"), "row_no", "raw", "width")
+
+
+def audit_rows(rows: DataFrame, headers: DataFrame, width: int = BLOCK_WIDTH, shaped: str | None = None) -> dict[str, DataFrame]:
     """Full audit of ragged tables: profiles, findings, issues and file scores.
 
     One aggregation over the cells yields profiles and verdicts; findings are
     row-local or meet the verdicts by (column, block of rows).  The parsed rows
     are read four times, so hand in a written table when parsing is costly.
+    Profiles reach to the widest row of each file; cells beyond the header are
+    surplus and not judged by type.
+
+    ``shaped`` names a flag of the rows: where it is false, rows come from
+    records, whose shape is no defect and of which none is left out.
     """
-    data = rows.filter(~_blank_row())
-    width_of = F.size("header")
-    cells = data.select(
-        "file_id", "sheet", "row_no", "header", F.posexplode(F.slice("tokens", 1, width_of)).alias("col", "raw")
-    ).select("file_id", "sheet", "col", F.get(F.col("header"), F.col("col")).alias("field"), "row_no", "raw")
+    judged = F.lit(True) if shaped is None else F.col(shaped)
+    data = rows.filter(~judged | ~_blank_row())
+    cells = table_row_cells(data if shaped is None else data.withColumn(
+        "tokens", F.when(F.col(shaped), F.col("tokens")).otherwise(F.slice("tokens", 1, F.greatest(F.size("header"), F.lit(1))))))
     counts = P.value_counts(cells)
     row_counts = data.groupBy("file_id", "sheet").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("row_no").alias("last_row"))
     stats = P.column_stats(counts)
-    findings = findings_of(rows, headers).unionByName(cell_defects(cells, stats, row_counts, width=width))
+    within = cells.filter(F.col("col") < F.col("width")).drop("width")
+    own = (rows, headers) if shaped is None else (rows.filter(shaped), headers.filter(shaped))
+    findings = findings_of(*own).unionByName(cell_defects(within, stats, row_counts, width=width))
     issues = IO.from_occurrences(findings)
     per_file = row_counts.groupBy("file_id").agg(F.sum("n_rows").alias("rows"))
-    files = headers.groupBy("file_id").agg(F.max(width_of).alias("columns")).join(per_file, "file_id", "left")
+    files = headers.groupBy("file_id").agg(F.max(F.size("header")).alias("columns")).join(per_file, "file_id", "left")
     scores = files.join(IO.score_files(issues), "file_id", "left").join(
         error_cells(issues), "file_id", "left")
     return {

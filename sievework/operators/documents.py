@@ -281,8 +281,8 @@ def calendar_components(docs: DataFrame, text: str = "text", key: str = "file_id
     return docs.select(key, F.explode(names).alias("name")).withColumn("name", F.upper("name"))
 
 
-def audit_calendars(docs: DataFrame, text: str = "text", key: str = "file_id") -> DataFrame:
-    """Events, tasks and malformed lines per calendar, with score and verdict."""
+def calendar_outcome(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds events, todos, components, bad_lines, codes, score and ok of each calendar."""
     lines = F.split(F.regexp_replace(F.col(text), r"\r?\n[ \t]", ""), r"\r?\n")
     bad = F.size(F.filter(lines, lambda x: (F.trim(x) != "") & ~x.rlike(r"^[A-Za-z0-9-]+(;[^:]*)?:")))
     components = F.regexp_extract_all(F.col(text), F.lit(r"(?im)^BEGIN:([A-Z-]+)\s*$"), F.lit(1))
@@ -290,17 +290,20 @@ def audit_calendars(docs: DataFrame, text: str = "text", key: str = "file_id") -
     def count(name: str) -> Column:
         return F.size(F.filter(components, lambda c: F.upper(c) == name))
 
-    counted = docs.select(
-        key, F.col(text).alias("__t"), count("VEVENT").alias("events"), count("VTODO").alias("todos"),
-        F.size(components).alias("components"), bad.alias("bad_lines"), count("VCALENDAR").alias("__c"))
+    counted = J.computed(docs, {
+        "events": count("VEVENT"), "todos": count("VTODO"), "components": F.size(components), "bad_lines": bad, "__c": count("VCALENDAR")})
     broken = F.col("__c") == 0
     empty = (F.col("events") == 0) & (F.col("todos") == 0)
     kinds = F.array_compact(F.array(
         F.when(broken, "ical-invalido"), F.when(~broken & (F.col("bad_lines") > 0), "errores-linea"),
         F.when(~broken & empty, "sin-eventos")))
-    return counted.withColumn("codes", kinds).select(
-        key, "events", "todos", "components", "bad_lines", "codes",
-        F.when(broken, 0).otherwise(F.lit(100) - F.size("codes") * 5).alias("score"), (F.size("codes") == 0).alias("ok"))
+    return counted.withColumn("codes", kinds).withColumns({
+        "score": F.when(broken, 0).otherwise(F.lit(100) - F.size("codes") * 5), "ok": F.size("codes") == 0}).drop("__c")
+
+
+def audit_calendars(docs: DataFrame, text: str = "text", key: str = "file_id") -> DataFrame:
+    """Events, tasks and malformed lines per calendar, with score and verdict."""
+    return calendar_outcome(docs.select(key, text), text).drop(text)
 
 
 # --- rings of shapes -------------------------------------------------------------

@@ -16,6 +16,7 @@ from sievework.functions import geo as G
 from sievework.functions import sniff as SN
 from sievework.functions import text as T
 from sievework.functions.json_text import describe
+from sievework.operators import collection as CO
 from sievework.operators import defects as DF
 from sievework.operators import documents as DO
 from sievework.plans import star
@@ -233,6 +234,10 @@ XML_DOC = """case o_orderkey % 6
   when 3 then concat('<rdf:RDF xmlns:rdf="r" xmlns:d="d"><d:Catalog>', repeat('<d:Dataset/>', cast(o_orderkey % 5 as int)), '</d:Catalog></rdf:RDF>')
   when 4 then concat('<g:c xmlns:g="http://www.opengis.net/gml">', repeat('<g:member><g:Point/></g:member>', cast(o_orderkey % 3 as int)), if(o_orderkey % 4 = 0, '<g:featureMember/>', ''), '</g:c>')
   else if(o_orderkey % 12 = 5, '<a><b></a>', '<a><b/></a>') end"""
+SERVICE_DOC = """case when s_suppkey % 5 = 0 then '<ServiceExceptionReport/>' else concat('<x:WMS_Capabilities xmlns:x="u">',
+        repeat(if(s_suppkey % 2 = 0, '<x:Layer/>', '<x:FeatureType/>'), cast(s_suppkey % 3 as int)), '</x:WMS_Capabilities>') end"""
+CALENDAR_DOC = """if(c_custkey % 7 = 0, concat('X:1\\n', if(c_custkey % 4 = 0, 'no colon here\\n', '')), concat('BEGIN:VCALENDAR\\r\\nSUMMARY:long\\r\\n  folded ', c_name, '\\r\\n',
+        repeat('BEGIN:VEVENT\\r\\nUID;X=1:a\\r\\nEND:VEVENT\\r\\n', cast(c_custkey % 3 as int)), if(c_custkey % 4 = 0, 'no colon here\\r\\n', ''), 'END:VCALENDAR\\r\\n'))"""
 KINDS = "element_at(array('RSS','KML','KML','RDF','GML','XML'), cast(o_orderkey % 6 + 1 as int))"
 
 
@@ -259,10 +264,8 @@ select s_suppkey as file_id, case when s_suppkey % 2 = 0 then 'WMS' else 'WFS' e
   case when s_suppkey % 5 = 0 then 'servicio-no-disponible' when s_suppkey % 3 = 0 then case when s_suppkey % 2 = 0 then 'sin-capas' else 'sin-feature-types' end end as code,
   case when s_suppkey % 5 = 0 then 0 when s_suppkey % 3 = 0 then 50 else 100 end as score from supplier""")
 def service_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """case when s_suppkey % 5 = 0 then '<ServiceExceptionReport/>' else concat('<x:WMS_Capabilities xmlns:x="u">',
-        repeat(if(s_suppkey % 2 = 0, '<x:Layer/>', '<x:FeatureType/>'), cast(s_suppkey % 3 as int)), '</x:WMS_Capabilities>') end"""
     docs = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("file_id"), F.expr("if(s_suppkey % 2 = 0, 'WMS', 'WFS')").alias("service"), F.expr(text).alias("text"))
+        F.col("s_suppkey").alias("file_id"), F.expr("if(s_suppkey % 2 = 0, 'WMS', 'WFS')").alias("service"), F.expr(SERVICE_DOC).alias("text"))
     return DO.service_inventory(DO.xml_inventory(docs)).select("file_id", "service", "offered", "code", "score")
 
 
@@ -273,9 +276,7 @@ select c_custkey as file_id, cast(case when c_custkey % 7 = 0 then 0 else c_cust
     case when c_custkey % 3 = 0 then 'sin-eventos' end], lambda x: x is not null), ',') end as codes,
   cast(case when c_custkey % 7 = 0 then 0 else 100 - 5 * ((c_custkey % 4 = 0)::int + (c_custkey % 3 = 0)::int) end as int) as score from customer""")
 def calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """if(c_custkey % 7 = 0, concat('X:1\\n', if(c_custkey % 4 = 0, 'no colon here\\n', '')), concat('BEGIN:VCALENDAR\\r\\nSUMMARY:long\\r\\n  folded ', c_name, '\\r\\n',
-        repeat('BEGIN:VEVENT\\r\\nUID;X=1:a\\r\\nEND:VEVENT\\r\\n', cast(c_custkey % 3 as int)), if(c_custkey % 4 = 0, 'no colon here\\r\\n', ''), 'END:VCALENDAR\\r\\n'))"""
-    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), F.expr(text).alias("text"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"), F.expr(CALENDAR_DOC).alias("text"))
     return DO.audit_calendars(docs).select("file_id", "events", "bad_lines", F.array_join("codes", ",").alias("codes"), "score")
 
 
@@ -502,3 +503,103 @@ def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def empty_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which payloads hold nothing at all."""
     return arrivals.audit_payloads(payloads(spark, sf_dir)).select("page_id", "empty")
+
+
+# --- one collection of all formats ----------------------------------------------------
+# A complete archive without members, as bytes in hex digits.
+_ZIP = "504B0304" + "00" * 26 + "504B0506" + "00" * 18
+CSV_LINE = ("concat_ws(';', cast(s_suppkey as string), if(s_suppkey % 7 = 0, 'N/D', cast(cast(s_acctbal as bigint) as string)), "
+            "if(s_suppkey % 5 = 0, null, s_name))")
+TXT_DOC = """case p_partkey % 3 when 0 then concat(p_brand, '\n \n', p_type) when 1 then concat('a|b\n', p_size, '|x\n', p_size, '|y\n', if(p_partkey % 2 = 0, '7', '7|z|w'))
+  else ' \n\n' end"""
+
+
+def collection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Files of all formats side by side, and the members of the packages among them."""
+    def files(source: DataFrame, prefix: str, key: str, kind: F.Column, content: F.Column) -> DataFrame:
+        return source.select(F.concat(F.lit(f"{prefix}/"), F.col(key).cast("string")).alias("file_id"), kind.alias("format"), content.alias("content"))
+
+    def tab(name: str) -> DataFrame:
+        return table(spark, sf_dir, name)
+
+    # One table per nation, in three encodings; as many rows as a nation has suppliers.
+    lines = tab("supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", F.expr(CSV_LINE).alias("line")))).alias("l"))
+    text = F.concat(F.lit("k;v;w\n"), F.array_join(F.transform("l", lambda e: e["line"]), "\n"), F.lit("\n"))
+    coded = F.when(F.col("s_nationkey") % 3 == 0, F.encode(text, "UTF-16")).when(
+        F.col("s_nationkey") % 3 == 1, F.concat(F.unhex(F.lit("EFBBBF")), text.cast("binary"))).otherwise(text.cast("binary"))
+    events, bodies = tab("events"), payloads(spark, sf_dir)
+    service = "if(s_suppkey % 2 = 0, 'WMS', 'WFS')"
+    parts = [
+        files(lines, "csv", "s_nationkey", F.lit("CSV"), coded),
+        files(tab("part"), "txt", "p_partkey", F.lit("TXT"), F.expr(TXT_DOC).cast("binary")),
+        files(events, "json", "event_id", F.lit("JSON"), F.expr(JSON_DOC).cast("binary")),
+        files(events, "geo", "event_id", F.lit("GeoJSON"), F.expr(GEOJSON).cast("binary")),
+        files(tab("orders"), "xml", "o_orderkey", F.expr(KINDS), F.expr(XML_DOC).cast("binary")),
+        files(tab("supplier"), "ogc", "s_suppkey", F.expr(service), F.expr(SERVICE_DOC).cast("binary")),
+        files(tab("customer"), "ical", "c_custkey", F.lit("iCal"), F.expr(CALENDAR_DOC).cast("binary")),
+        files(bodies, "bin", "page_id", F.expr("element_at(array('BIN','JPEG','ECW','XLSX','SHP','OTRO'), cast(page_id % 6 + 1 as int))"), F.col("content")),
+        files(tab("lineitem").select("l_orderkey").distinct(), "shp", "l_orderkey", F.lit("SHP"), F.unhex(F.lit(_ZIP))),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    members = tab("lineitem").select(
+        F.concat(F.lit("shp/"), F.col("l_orderkey").cast("string")).alias("archive_id"), F.expr(MEMBER.format(s="string")).alias("name"),
+        F.expr("cast(round(l_extendedprice * 10000) as bigint)").alias("size"), F.expr("cast(l_orderkey % 9 * 3000000 as bigint)").alias("zip_size"))
+    return whole, members
+
+
+@register("mixed_collection", f"""
+with csv as (
+  select s_nationkey as k, count(*) as n, count(*) filter (where s_suppkey % 7 = 0) as words, count(*) filter (where s_suppkey % 5 = 0) as short
+  from supplier group by 1),
+csv_codes as (select *, words > 0 and n >= 3 and n - words > words as typed from csv),
+shp as (
+  select *, list_sort(list_filter(list_concat([code, case when not has_projection then 'sin-prj' end],
+    list_transform(list_filter(string_split(missing_parts, ','), lambda p: p not in ('', '.shp')), lambda p: 'componente-faltante-' || substr(p, 2))),
+    lambda x: x is not null)) as codes from ({{manifests}})),
+body as (
+  select page_id, (['BIN','JPEG','ECW','XLSX','SHP','OTRO'])[page_id % 6 + 1] as format, page_id % 8 as b, length(url) >= 18 as cut from pages),
+judged as (
+  select *, case when b = 4 then 'archivo-vacio'
+     when format in ('BIN', 'OTRO') then case when b = 0 then 'no-es-archivo' when b in (1, 2, 3) then 'tipo-detectado' else 'tipo-no-identificado' end
+     when format in ('JPEG', 'ECW') then case when b = 0 then 'no-es-imagen' else 'firma-invalida' end
+     when format = 'XLSX' then case when b <> 3 or cut then 'xlsx-invalido' end
+     else case when b = 0 then 'no-es-archivo' when b <> 3 then 'zip-invalido' when cut then 'descarga-truncada' end end as code from body)
+select file_id, format, cast(score as int) as score, codes, cast(entities as bigint) as entities from (
+select 'csv/' || k as file_id, 'CSV' as format, 100 - 15 * typed::int - 5 * (short > 0)::int as score,
+  array_to_string(list_filter([case when short > 0 then 'celda-faltante' end, case when typed then 'error-tipo' end], lambda x: x is not null), ',') as codes,
+  n as entities from csv_codes
+union all select 'txt/' || p_partkey, 'TXT', case p_partkey % 3 when 2 then 0 when 0 then 100 else case when p_partkey % 2 = 0 then 95 else 85 end end,
+  case p_partkey % 3 when 2 then 'sin-contenido' when 0 then '' else case when p_partkey % 2 = 0 then 'celda-faltante' else 'celda-extra' end end,
+  case p_partkey % 3 when 2 then 0 when 0 then 2 else 3 end from part
+union all select 'json/' || event_id, 'JSON', case when event_id % 5 in (0, 2) then 95 else 100 end,
+  case when event_id % 5 in (0, 2) then 'celda-faltante' else '' end, case when event_id % 5 = 0 then 3 else 2 end from events
+union all select 'geo/' || event_id, 'GeoJSON', score, coalesce(code, ''), features from ({{geojson_features}})
+union all select 'xml/' || file_id, kind, score, coalesce(code, ''), coalesce(entities, total_elements) from ({{xml_inventory}})
+union all select 'ogc/' || file_id, service, score, coalesce(code, ''), offered from ({{service_inventory}})
+union all select 'ical/' || file_id, 'iCal', score, codes, events from ({{calendars}})
+union all select 'shp/' || archive_id, 'SHP', case when code is not null then 0 else 100 - 5 * len(codes) end, array_to_string(codes, ','), null from shp
+union all select 'bin/' || page_id, format, case when b = 4 or code is null or code = 'descarga-truncada' then null when code = 'tipo-detectado' then 80 else 0 end,
+  coalesce(code, ''), null from judged)""".format(**SQL))
+def mixed_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in three encodings, JSON, GeoJSON, XML, services, calendars, packages, images and unknown files in one audit."""
+    files, members = collection(spark, sf_dir)
+    return CO.audit_collection(files, members).select("file_id", "format", "score", F.array_join("codes", ",").alias("codes"), "entities")
+
+
+@register("wide_profiles", """
+with r as (select s_nationkey as k, s_suppkey as i, s_suppkey % 4 as surplus from supplier),
+w as (select k, count(*) as n, max(surplus) as widest from r group by 1),
+c as (select w.k, w.n, t.c from w, unnest(range(0, 1 + widest)) as t(c))
+select c.k as file_id, cast(c.c as int) as col, case when c.c = 0 then 'k' else 'Col ' || (c.c + 1) end as name,
+  cast(c.n - count(r.i) filter (where r.surplus >= c.c) as bigint) as null_count, count(distinct case when c.c = 0 then r.i else r.i % 10 end)
+  filter (where r.surplus >= c.c) as "distinct" from c join r using (k) group by c.k, c.c, c.n""")
+def wide_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of tables whose rows run beyond a header of one column, one table per nation."""
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("file_id"), F.lit("").alias("sheet"), (F.col("s_suppkey") + 1).alias("row_no"),
+        F.expr("concat(array(cast(s_suppkey as string)), array_repeat(cast(s_suppkey % 10 as string), cast(s_suppkey % 4 as int)))").alias("tokens"),
+        F.array(F.lit("k")).alias("header"))
+    headers = rows.select("file_id", "sheet", "header").distinct()
+    return DF.audit_rows(rows, headers)["profiles"].select("file_id", "col", "name", "null_count", "distinct")

@@ -113,6 +113,27 @@ def guess_delimiters(lines: DataFrame, order: tuple[str, ...] = ("row_no",)) ->
     return best.select("file_id", F.get(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("rank")).alias("sep"))
 
 
+def guess_delimiter(lines: Column) -> Column:
+    """Delimiter of a file given as an array of all its lines; the rule of ``guess_delimiters``.
+
+    Where no candidate splits two lines (a header alone, a single column), the
+    most frequent one in the first lines, else the comma.
+    """
+    head = F.filter(F.slice(lines, 1, GUESS_LINES + 1), lambda line: line != "")
+    joined = F.array_join(head, "")
+    scored, seen = [], []
+    for rank, sep in enumerate(DELIMITERS):
+        fields = F.transform(head, lambda line, d=sep: F.size(split_cells(line, d)))
+        first = F.get(fields, F.lit(0))
+        even = F.size(F.filter(fields, lambda n, f=first: n == f)) / F.size(fields) * 100
+        scored.append(F.when((F.size(fields) >= 2) & (first >= 2), F.struct(
+            (even + F.least(first, F.lit(MAX_FIELDS_SCORED))).alias("score"), F.lit(-rank).alias("rank"), F.lit(sep).alias("sep"))))
+        n = F.length(joined) - F.length(F.replace(joined, F.lit(sep)))
+        seen.append(F.when(n > 0, F.struct(n.alias("n"), F.lit(-rank).alias("rank"), F.lit(sep).alias("sep"))))
+    best = F.array_max(F.array_compact(F.array(*scored)))["sep"]
+    return F.coalesce(best, F.array_max(F.array_compact(F.array(*seen)))["sep"], F.lit(","))
+
+
 def _quote_transition(line: Column, sep: Column) -> tuple[Column, Column]:
     """Is a quoted cell open after the line, if none / one was open before it?"""
     other = F.concat(F.lit("[^"), sep, F.lit("]"))
