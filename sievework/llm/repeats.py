@@ -345,7 +345,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = docs.withColumn("__key", F.xxhash64(F.col(doc_id).cast("bigint"), F.coalesce(F.col(text), F.lit(""))))
     cut = removals(marked, "__key", text).filter("n_removed > 0").groupBy("key").agg(F.max("kept").alias("__kept"))
-    joined = marked.join(cut, F.col("__key") == F.col("key"), "left").filter("__kept is null or __kept <> ''")
+    joined = marked.join(cut.withColumnRenamed("key", "__key"), "__key", "left").filter("__kept is null or __kept <> ''")
     changes = {text: F.coalesce("__kept", text)}
     if n_chars in docs.columns:
         changes[n_chars] = F.when(F.col("__kept").isNull(), F.col(n_chars)).otherwise(

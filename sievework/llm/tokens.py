@@ -11,8 +11,8 @@ import re
 
 import numpy as np
 
-#: Pieces of each of the two generations that a worker remembers.
-REMEMBERED = 250_000
+#: Bytes of each of the two generations that a worker remembers, pieces and ids with what Python needs around them.
+REMEMBERED_BYTES, _AROUND = 24_000_000, 200
 
 
 class _Known(dict):
@@ -25,20 +25,25 @@ class _Known(dict):
         super().__init__()
         self.old: dict[str, bytes] = {}
         self.open: dict[str, bytearray] = {}
+        self.size = 0
 
     def __missing__(self, piece: str) -> bytes | bytearray:
         ids = self.old.pop(piece, None)
         if ids is None:
             self.open[piece] = ids = bytearray()
+        else:
+            self.size += 2 * len(piece) + len(ids) + _AROUND
         self[piece] = ids
         return ids
 
     def settle(self) -> None:
         self.update((piece, bytes(ids)) for piece, ids in self.open.items())
+        self.size += sum(2 * len(piece) + len(ids) + _AROUND for piece, ids in self.open.items())
         self.open.clear()
-        if len(self) > REMEMBERED:
+        if self.size > REMEMBERED_BYTES:
             self.old = dict(self)
             self.clear()
+            self.size = 0
 
 
 class IdEncoder:

@@ -66,6 +66,24 @@ def test_packing(docs, none):
     assert packing.pack(none, BYTES).count() == 0
 
 
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", 3000)
+    encoder, plain = tokens.IdEncoder(WORDS, 1), Tokenizer.from_file(WORDS)
+    for k in range(30):
+        texts = [f"word{k} word{k + 1} word{j}" for j in range(20)]
+        want = [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
+        assert encoder.first.size <= 3000 and len(encoder.first) + len(encoder.first.old) < 60
+
+
+def test_repeats_beside_clashing_columns(spark):
+    text = "".join(chr(97 + k * k % 26) for k in range(400))
+    docs = spark.createDataFrame([(1, text, 7, "a"), (2, "own words " + text, 8, "b"), (3, "other", 9, "c")],
+                                 "doc_id bigint, text string, key int, kept string")
+    kept = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
+    assert kept[2].text.startswith("own words") and len(kept[2].text) < 300 and (kept[2].key, kept[2].kept) == (8, "b") and kept[3].text == "other"
+
+
 def test_plan_places_every_piece():
     rng = np.random.default_rng(1)
     for top in (5, 300, 1024):
