@@ -15,6 +15,7 @@ from sievework import dims
 from sievework.functions import geo as G
 from sievework.functions import sniff as SN
 from sievework.functions import text as T
+from sievework.functions.cells import cell_text
 from sievework.functions.json_text import describe
 from sievework.operators import collection as CO
 from sievework.operators import defects as DF
@@ -603,3 +604,15 @@ def wide_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("k")).alias("header"))
     headers = rows.select("file_id", "sheet", "header").distinct()
     return DF.audit_rows(rows, headers)["profiles"].select("file_id", "col", "name", "null_count", "distinct")
+
+
+@register("native_cells", """
+select event_id, coalesce(case when event_id % 3 > 0 then cast(user_id as varchar) end, '') as number,
+  coalesce(case when event_id % 5 > 0 then case when event_id % 2 = 0 then 'true' else 'false' end end, '') as flag,
+  case when event_id % 7 > 0 then '{"u":' || user_id || ',"t":["' || event_type || '"]}' else '' end as nested from events""")
+def native_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native values of events as the text of a cell: numbers, booleans and nested values, some of them null."""
+    nested = F.when(F.col("event_id") % 7 > 0, F.struct(F.col("user_id").alias("u"), F.array("event_type").alias("t")))
+    return table(spark, sf_dir, "events").select(
+        "event_id", cell_text(F.when(F.col("event_id") % 3 > 0, F.col("user_id"))).alias("number"),
+        cell_text(F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 2 == 0)).alias("flag"), cell_text(nested, "nested").alias("nested"))
