@@ -36,6 +36,8 @@ class Quantised:
     """Unit vectors as int8 with scale, quantised length and length of the error."""
 
     def __init__(self, vectors: np.ndarray):
+        # By a power of two, which rounds nothing: squares of very large or small components stay within doubles.
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
         self.unit = vectors / np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
         self.scale = np.abs(self.unit).max(axis=1) / 127
         self.codes = np.rint(self.unit / self.scale[:, None]).astype(np.int8)

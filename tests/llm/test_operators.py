@@ -195,6 +195,13 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1.0, 0.0]), (4, [1e300, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, -1e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(
+        spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
 def plain_repeats(rows):
     seen, out = {}, []
     data = [(r[0], (r[1] or "").encode()) for r in rows]
