@@ -204,10 +204,8 @@ def _best_fit(runs: list[Run], left: np.ndarray, capacity: int) -> list[Run]:
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[Run]:
-    """Runs of sequences that hold ``counts[n]`` pieces of every length n; the best of the trials."""
-    tried = [_best_fit([], counts, capacity)]
-    for groups, share in TRIALS:
-        tried.append(_best_fit(*_substitute(counts, groups, max(1, int(capacity * share)), capacity), capacity))
+    """Runs of sequences that hold ``counts[n]`` pieces of every length n; the best of the groupings tried."""
+    tried = [_best_fit(*_substitute(counts, groups, max(1, int(capacity * share)), capacity), capacity) for groups, share in TRIALS]
     return min(tried, key=lambda runs: sum(n for n, _ in runs))
 
 
