@@ -6,9 +6,10 @@ powers of two, so it does not depend on the order of paragraphs, and adding or
 taking out a paragraph is one addition or subtraction (``plus``, ``minus``).
 
 Two kinds of lanes: four lanes modulo 2**64 decide equality; 128 lanes modulo
-2**16 hold sums of +-1 over the paragraph's three-word windows, and the
+2**32 hold sums of +-1 over the paragraph's three-word windows, and the
 squared length of the difference of two such sketches estimates how many
-windows the texts do not share, which gives their likeness.
+windows the texts do not share, which gives their likeness.  A text of fewer
+than 2**31 windows, more than a row can hold, never wraps a lane.
 
 Defined cases: null text is empty and has fingerprint zero; equal texts have
 equal fingerprints; two empty texts have likeness 1, an empty and another 0;
@@ -37,7 +38,7 @@ class Fingerprint:
 
     def __init__(self, strong: np.ndarray | None = None, lanes: np.ndarray | None = None):
         self.strong = np.zeros(STRONG, np.uint64) if strong is None else strong
-        self.lanes = np.zeros(LANES, np.uint16) if lanes is None else lanes
+        self.lanes = np.zeros(LANES, np.uint32) if lanes is None else lanes
 
     def plus(self, other: "Fingerprint") -> "Fingerprint":
         return Fingerprint(self.strong + other.strong, self.lanes + other.lanes)
@@ -46,13 +47,13 @@ class Fingerprint:
         return Fingerprint(self.strong - other.strong, self.lanes - other.lanes)
 
     def hex(self) -> str:
-        return self.strong.astype("<u8").tobytes().hex() + self.lanes.astype("<u2").tobytes().hex()
+        return self.strong.astype("<u8").tobytes().hex() + self.lanes.astype("<u4").tobytes().hex()
 
     def likeness(self, other: "Fingerprint") -> float:
         """1 for equal multisets, about 0 for texts without a common window."""
         if (self.strong == other.strong).all():
             return 1.0
-        own, others, gap = ((x.view(np.int16).astype(np.float64) ** 2).sum() for x in (self.lanes, other.lanes, self.lanes - other.lanes))
+        own, others, gap = ((x.view(np.int32).astype(np.float64) ** 2).sum() for x in (self.lanes, other.lanes, self.lanes - other.lanes))
         return float(np.clip(1 - gap / (own + others), 0, 1)) if own + others else 0.0
 
 
@@ -83,7 +84,7 @@ def fingerprint(text: str) -> Fingerprint:
             add()
     if hashed:
         add()
-    return Fingerprint(strong, lanes.astype(np.uint16))
+    return Fingerprint(strong, lanes.astype(np.uint32))
 
 
 def edited(text: str, following: str) -> str:

@@ -54,7 +54,10 @@ def test_packing(docs, none):
     got = packing.pack(docs, BYTES, capacity=64, with_ids=True).toPandas()
     plain = Tokenizer.from_file(BYTES)
     want = sorted(tuple([*plain.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect())
-    whole = []
+    whole, found = [], []
+    for _, own in got[got.doc_id != 9].sort_values("start").groupby("doc_id"):  # id 9 stands twice
+        found.append(tuple(np.concatenate([np.frombuffer(b, "<u4") for b in own.ids]).tolist()))
+    assert len(found) == len(want) - 3 and set(found) <= set(want)
     for _, own in got.sort_values("start").groupby(got.doc_id.fillna(-1)):
         ids = [np.frombuffer(b, "<u4") for b in own.ids]
         assert [zlib.crc32(b) for b in own.ids] == own.ids_crc32.tolist()
@@ -97,6 +100,15 @@ def test_plan_places_every_piece():
         assert sum(n for n, _ in runs) <= 1.02 * -(-(counts * np.arange(1025)).sum() // 1024) + 1
 
 
+def test_grouping_keeps_up_with_plain_best_fit():
+    rng = np.random.default_rng(2)
+    short, long_ = rng.lognormal(5, 1, 20_000), rng.integers(200, 1025, 20_000)
+    for lengths in (short, rng.integers(1, 1025, 20_000), long_, rng.choice([123, 300, 341, 400, 700], 3000)):
+        counts = np.bincount(np.clip(lengths, 1, 1024).astype(int), minlength=1025)
+        plain = sum(n for n, _ in packing._best_fit([], counts, 1024))
+        assert sum(n for n, _ in packing.plan(counts)) <= 1.001 * plain
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 200
     pages = [(1, "u", big), (2, "u\n2", big), (3, None, None), (4, "u", "s"), (5, "u", "s"), (None, "u", "n" * 150), (6, "é", "\x1f\x8b\x08 WARC/1.1" * 30)]
@@ -370,6 +382,14 @@ def test_multiset(docs, none, rows):
     assert a.hex() == b.hex() and a.minus(multiset.fingerprint("three")).hex() == multiset.fingerprint("one two").hex()
 
 
+def test_likeness_of_texts_with_one_line_very_often():
+    line = "the same line again\n"
+    often, more = multiset.fingerprint(line * 65_536), multiset.fingerprint(line * 65_536 + "and one more line")
+    assert 0.999 < often.likeness(more) < 1 and often.minus(multiset.fingerprint(line * 65_535)).hex() != often.hex()
+    half = multiset.fingerprint(line * 20_000).likeness(multiset.fingerprint(line * 40_000))
+    assert 0.79 < half < 0.81  # 1 - (40 - 20)^2 / (40^2 + 20^2)
+
+
 def test_small_rows_are_dealt_to_tasks(spark):
     from sievework.llm.shared import dealt
 
