@@ -43,11 +43,6 @@ def kind_of(variant: Column) -> Column:
     return lookup(F.substring(F.schema_of_variant(variant), 1, 4), _KINDS)
 
 
-def member_kind(text: Column, variant: Column) -> Column:
-    """Kind of a member given its text: only what looks like structure is examined."""
-    return F.when(text.startswith("{") | text.startswith("["), kind_of(variant)).otherwise("scalar")
-
-
 def shape(text: Column) -> dict[str, Column]:
     """Kind, element count, top-level keys and nested values of a document."""
     variant = parse(text)
@@ -88,43 +83,33 @@ def _looks_nested(text: Column) -> Column:
     return text.startswith("{") | text.startswith("[")
 
 
-def _typed_values(text: Column, raw: Column) -> Column:
-    """Values of an object as variants, only when some text looks like structure."""
-    some = F.exists(F.map_values(raw), lambda t: F.coalesce(_looks_nested(t), F.lit(False)))
-    return F.map_values(F.from_json(F.when(some, text), "map<string,variant>"))
+def quotes_structure(text: Column) -> Column:
+    """May some string of the document open with a brace or bracket?
+
+    Members come as text without their quotes, so such a string would pass for
+    an object or list.  It has to stand as ``"{``, ``"[`` or with an escape, and
+    no other place of valid JSON has a quote before a brace but within a string.
+    Where this is false, the first character of a member tells its kind.
+    """
+    return text.rlike(r'"[{\[]|\\u')
 
 
-def _entries(text: Column, path: Column, order: Column) -> Column:
-    """Members of an object: (path, order, text, kind), in document order."""
-    raw = F.from_json(text, "map<string,string>")
-    both = F.arrays_zip(F.map_keys(raw).alias("k"), F.map_values(raw).alias("t"))
-    typed = _typed_values(text, raw)
-    return F.transform(both, lambda m, i: F.struct(
+def _entries(text: Column, path: Column, order: Column, doubtful: Column) -> Column:
+    """Members of an object that hold a structure: (path, order, text, kind), in document order."""
+    # Entries rather than keys and values: within a lambda each mention parses again.
+    raw = F.map_entries(F.from_json(text, "map<string,string>"))
+    typed = F.map_values(F.from_json(F.when(doubtful, text), "map<string,variant>"))
+    numbered = F.transform(raw, lambda m, i: F.struct(m["key"].alias("k"), m["value"].alias("t"), i.alias("i")))
+    kept = F.filter(numbered, lambda m: _looks_nested(m["t"]))
+    return F.transform(kept, lambda m: F.struct(
         F.when(path == "", m["k"]).otherwise(F.concat(path, F.lit("."), m["k"])).alias("path"),
-        F.concat(order, F.array(i)).alias("order"), m["t"].alias("text"),
-        F.when(_looks_nested(m["t"]), kind_of(F.get(typed, i))).otherwise("scalar").alias("kind")))
-
-
-def members(node: Column) -> Column:
-    """Children of an object or list: (path, parent, name, text, kind)."""
-    path, text = node["path"], node["text"]
-    is_list = node["kind"] == "list"
-    raw, typed = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
-    in_object = F.transform(
-        F.arrays_zip(F.map_keys(raw).alias("k"), F.map_values(raw).alias("t"), F.map_values(typed).alias("v")),
-        lambda m: F.struct(
-            F.when(path == "", m["k"]).otherwise(F.concat(path, F.lit("."), m["k"])).alias("path"),
-            path.alias("parent"), m["k"].alias("name"), m["t"].alias("text"), member_kind(m["t"], m["v"]).alias("kind")))
-    in_list = F.transform(
-        F.arrays_zip(F.from_json(text, "array<string>").alias("t"), F.from_json(text, "array<variant>").alias("v")),
-        lambda m, i: F.struct(
-            F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), path.alias("parent"),
-            F.lit(None).cast("string").alias("name"), m["t"].alias("text"), member_kind(m["t"], m["v"]).alias("kind")))
-    return F.when(is_list, in_list).otherwise(in_object)
+        F.concat(order, F.array(m["i"])).alias("order"), m["t"].alias("text"),
+        F.when(doubtful, kind_of(F.get(typed, m["i"])))
+        .otherwise(F.when(m["t"].startswith("{"), "object").otherwise("list")).alias("kind")))
 
 
 def record_lists(df, text: str, out: str = "records"):
-    """Adds the longest list of records in each document and its ``path``.
+    """Adds the longest list of records in each document, its ``path`` and whether the document is ``doubtful``.
 
     Objects are searched down to four levels; a list counts when its first
     element is an object or a list; the first one met wins a tie; lists are
@@ -133,10 +118,11 @@ def record_lists(df, text: str, out: str = "records"):
     root = F.array(F.struct(
         F.lit("").alias("path"), F.array().cast("array<int>").alias("order"),
         F.col(text).alias("text"), document_kind(F.col(text)).alias("kind")))
-    levels, current = ["__l0"], computed(df, {"__l0": root})
+    doubtful = F.col("__doubtful")
+    levels, current = ["__l0"], computed(df, {"__l0": root, "__doubtful": quotes_structure(F.col(text))})
     for depth in range(1, MAX_DEPTH + 1):
         objects = F.filter(levels[-1], lambda e: e["kind"] == "object")
-        nested = F.transform(objects, lambda e: _entries(e["text"], e["path"], e["order"]))
+        nested = F.transform(objects, lambda e: _entries(e["text"], e["path"], e["order"], doubtful))
         current = computed(current, {f"__l{depth}": F.flatten(nested)})
         levels.append(f"__l{depth}")
     found = F.filter(F.concat(*levels), lambda e: (e["kind"] == "list") & _starts_with_record(e["text"]))
@@ -144,7 +130,7 @@ def record_lists(df, text: str, out: str = "records"):
         (-F.json_array_length(e["text"])).alias("neg"), e["order"].alias("order"),
         e["path"].alias("path"), e["text"].alias("text"))))
     best = computed(current, {"__best": F.get(ranked, F.lit(0))})
-    return best.select(*df.columns, F.col("__best.path").alias("path"), F.col("__best.text").alias(out))
+    return best.select(*df.columns, F.col("__best.path").alias("path"), F.col("__best.text").alias(out), doubtful.alias("doubtful"))
 
 
 def _starts_with_record(list_text: Column) -> Column:
@@ -163,11 +149,11 @@ def item_facts(items: Column) -> dict[str, Column]:
     return {"keys": F.transform(lone, F.json_object_keys), "values": values}
 
 
-def wrap_objects(items: Column, values: Column) -> Column:
+def wrap_objects(items: Column, values: Column, doubtful: Column) -> Column:
     """Is the only member of every record an object (and not text that looks like one)?"""
     both = F.arrays_zip(items.alias("i"), values.alias("v"))
-    return F.forall(both, lambda b: b["v"].startswith("{") & (kind_of(
-        F.get(F.map_values(F.from_json(b["i"], "map<string,variant>")), F.lit(0))) == "object"))
+    return F.forall(both, lambda b: b["v"].startswith("{") & (~doubtful | (kind_of(
+        F.get(F.map_values(F.from_json(b["i"], "map<string,variant>")), F.lit(0))) == "object")))
 
 
 def shared_key(keys: Column) -> Column:

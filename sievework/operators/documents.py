@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from sievework.functions import json_text as J
 from sievework.functions import scores as S
 from sievework.functions.xml_text import tag_scan
 from sievework.operators.groups import number_within, running_sum
+from sievework.session import checkpoint_dir
 
 # Shapefile parts, inflation limits and GeoJSON types.
 REQUIRED_PARTS = (".shp", ".dbf", ".shx")
@@ -35,7 +37,7 @@ def json_records(docs: DataFrame, text: str = "text", key: str = "file_id") -> D
     facts = J.computed(listed, J.item_facts(F.col("items")))
     # A one-key wrapper around every record is taken off once.
     facts = J.computed(facts, {"shared": J.shared_key(F.col("keys"))})
-    wraps = F.coalesce(J.wrap_objects(F.col("items"), F.col("values")), F.lit(False))
+    wraps = F.coalesce(J.wrap_objects(F.col("items"), F.col("values"), F.col("doubtful")), F.lit(False))
     facts = J.computed(facts, {"outer": F.when(F.col("shared").isNotNull() & wraps, F.col("shared"))})
     bare = facts.select(
         key,
@@ -119,29 +121,64 @@ def json_outcome(docs: DataFrame, text: str = "text") -> DataFrame:
     return shaped.withColumn("code", code).withColumn("score", F.when(F.col("code").isNotNull(), 0).otherwise(100))
 
 
-def json_paths(docs: DataFrame, text: str, key: str, max_depth: int) -> DataFrame:
-    """Every key of every document down to ``max_depth``: (key, path, parent, name, leaf).
+def json_nodes(docs: DataFrame, text: str = "text", key: str = "file_id") -> DataFrame:
+    """Every node below the root of every document, however deep: (key, path, name, leaf, ends, depth).
 
-    Built inside the document's row, level by level, and exploded once; list
-    positions are written as ``[n]``.
+    The documents are walked level by level.  The frontier, one row per object
+    or list still to be opened, is a table in the shared folder: nodes leave
+    their document at the first level, so a wide document is spread over tasks
+    from then on, and the walk ends with an empty frontier.  It is held as text,
+    since a variant would carry the key dictionary of the whole document in
+    each row.
+
+    List positions are written as ``[n]`` and have no name; ``leaf`` is the
+    text of a value, null for objects and lists; ``ends`` are the lengths of the
+    paths above, each of which is a prefix of ``path``.  Null texts, texts
+    that are no JSON and lone values have no nodes; a repeated document gives
+    its nodes again.  The parser's limits (1 000 levels, 128 MB) hold.
     """
-    root = F.array(F.struct(
-        F.lit("").alias("path"), F.lit("").alias("parent"), F.lit(None).cast("string").alias("name"),
-        F.col(text).alias("text"), J.document_kind(F.col(text)).alias("kind")))
-    staged = J.computed(docs.select(key, text), {"__l0": root})
-    for depth in range(1, max_depth + 1):
-        branches = F.filter(f"__l{depth - 1}", lambda e: e["kind"].isin("list", "object"))
-        staged = J.computed(staged, {f"__l{depth}": F.flatten(F.transform(branches, J.members))})
-    nodes = staged.select(key, F.inline(F.concat(*[f"__l{d}" for d in range(1, max_depth + 1)])))
-    leaf = F.when(~F.col("kind").isin("list", "object"), F.coalesce("text", F.lit("null")))
-    return nodes.select(key, "path", "parent", "name", leaf.alias("leaf"))
-
-
-def search_json(paths: DataFrame, needle: str) -> DataFrame:
-    """Paths whose key or leaf value contains the needle."""
+    spark = docs.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/json-nodes-{uuid.uuid4().hex}"
+    frontier = docs.select(key, F.lit("").alias("path"), F.array().cast("array<int>").alias("ends"), F.col(text).alias("branch"))
+    depth = 1
+    while True:
+        level = f"{folder}/depth={depth}"
+        _json_children(frontier, key).write.parquet(level)
+        opened = spark.read.parquet(level).filter("branch is not null")
+        if opened.isEmpty():
+            break
+        frontier, depth = opened, depth + 1
+    return spark.read.parquet(folder).select(key, "path", "name", "leaf", "ends", "depth")
+
+
+def _json_children(frontier: DataFrame, key: str) -> DataFrame:
+    """Members of each object and elements of each list, ``branch`` being the text of those to be opened in turn."""
+    parsed = frontier.select(
+        F.col(key).alias("__key"), F.col("path").alias("__path"), F.col("ends").alias("__ends"), J.parse(F.col("branch")).alias("__variant"))
+    member = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("__variant").outer())).select(
+        "__key", "__path", "__ends", F.col("key").alias("name"), "pos", F.col("value").alias("__value"), F.to_json("value").alias("__text"))
+    is_branch = F.col("__text").startswith("{") | F.col("__text").startswith("[")
+    path = (
+        F.when(F.col("name").isNull(), F.concat("__path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        .when(F.col("__path") == "", F.col("name")).otherwise(F.concat("__path", F.lit("."), "name")))
+    # Only strings are written with quotes: theirs is the text within.
+    plain = F.when(F.col("__text").startswith('"'), F.col("__value").cast("string")).otherwise(F.col("__text"))
+    return member.select(
+        F.col("__key").alias(key), path.alias("path"), "name", F.when(~is_branch, plain).alias("leaf"),
+        F.concat("__ends", F.array(F.length("__path"))).alias("ends"), F.when(is_branch, F.col("__text")).alias("branch"))
+
+
+def search_json(nodes: DataFrame, needle: str) -> DataFrame:
+    """Nodes whose key or leaf value contains the needle; none for a blank one."""
     n = needle.strip().lower()
     hit = F.coalesce(F.lower("name").contains(n), F.lit(False)) | F.coalesce(F.lower("leaf").contains(n), F.lit(False))
-    return paths.filter(hit)
+    return nodes.filter(hit & F.lit(n != ""))
+
+
+def open_json_paths(hits: DataFrame, key: str = "file_id") -> DataFrame:
+    """Branches to unfold so that every hit is seen: (key, path, hits below), the root being the empty path."""
+    above = hits.select(key, "path", F.explode("ends").alias("end"))
+    return above.groupBy(key, F.expr("left(path, end)").alias("path")).agg(F.count(F.lit(1)).alias("hits"))
 
 
 # --- GeoJSON -------------------------------------------------------------------

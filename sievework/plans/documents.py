@@ -207,8 +207,38 @@ def json_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 select event_id as file_id, 'result.items[1].z' as path from events where event_id % 5 = 0
 union all select event_id, 'result.items[2].z' from events where event_id % 5 = 0""")
 def json_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = DO.json_paths(json_docs(spark, sf_dir), "text", "file_id", 4)
-    return DO.search_json(paths, " Z ").select("file_id", "path")
+    return DO.search_json(DO.json_nodes(json_docs(spark, sf_dir)), " Z ").select("file_id", "path")
+
+
+# One branch per event, up to eleven levels of objects and lists in turn deep, every 13th cut short.
+_NESTED = """concat('{"event":"', event_type, '","in":', repeat('{"d":[0,', cast(event_id % 6 as int)), props,
+  repeat(']}', cast(event_id % 6 as int)), ',"at":[', cast(user_id as string), ',true,null,{"s":"[{}]"}]', if(event_id % 13 = 0, '', '}'))"""
+_NESTED_SQL = """with d as (select event_id as doc_id, concat('{"event":"', event_type, '","in":', repeat('{"d":[0,', event_id % 6), props,
+  repeat(']}', event_id % 6), ',"at":[', user_id, ',true,null,{"s":"[{}]"}]', case when event_id % 13 = 0 then '' else '}' end) as body from events),
+t as (select d.doc_id as file_id, regexp_replace(n.fullkey, '^\\$\\.?', '') as path, n.key as name, n.type as kind,
+        case when n.type not in ('OBJECT', 'ARRAY') then coalesce(n.atom->>'$', 'null') end as leaf
+      from d, json_tree(case when json_valid(d.body) then d.body end) n where n.parent is not null),
+u as (select file_id, path, case when path like '%]' then null else name end as name, leaf from t)"""
+
+
+def nested_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("file_id"), F.expr(_NESTED).alias("text"))
+
+
+@register("json_nodes", f"{_NESTED_SQL} select file_id, path, name, leaf from u")
+def json_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of documents of many depths."""
+    return DO.json_nodes(nested_docs(spark, sf_dir)).select("file_id", "path", "name", "leaf")
+
+
+@register("json_open_paths", f"""{_NESTED_SQL},
+hit as (select file_id, path from u where contains(lower(coalesce(name, '')), 'k') or contains(lower(coalesce(leaf, '')), 'k')),
+above as (select h.file_id, a.path, h.path as hit from hit h join u a on a.file_id = h.file_id and a.leaf is null
+            and (starts_with(h.path, a.path || '.') or starts_with(h.path, a.path || '[')) union all select file_id, '', path from hit)
+select file_id, path, count(*) as hits from above group by file_id, path""")
+def json_open_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches to unfold for the hits of a search."""
+    return DO.open_json_paths(DO.search_json(DO.json_nodes(nested_docs(spark, sf_dir)), "K"))
 
 
 GEOJSON = """case event_id % 4 when 0 then concat('{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Point","coordinates":[1,2]},"properties":', props, '},{"type":"Feature","geometry":null}]}')

@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
@@ -47,6 +48,9 @@ def test_json_records(spark):
     records = DO.json_records(docs(spark, texts))
     got = {r.file_id: (r.path, len(r["items"])) for r in records.collect()}
     assert got == {0: ("a.b.c.deep", 1), 2: ("z", 1), 6: ("r", 3), 7: ("", 2)}
+    quoted = ['{"a": " [{}]", "b": "\\u007b\\"x\\": [1]}", "c": {"d": [[2]]}}', '{"a": "[{}]", "b": [{"x": "{"}]}', '[{"w": "{}"}, {"w": "{}"}]', '[{"w": {}}, {"w": {}}]']
+    paths = {r.file_id: (r.path, r.layout) for r in DO.json_records(docs(spark, quoted)).collect()}
+    assert paths == {0: ("c.d", "lists"), 1: ("b", "objects"), 2: ("", "objects"), 3: ("[].w", "objects")}
     rows = DO.record_rows(records).filter("file_id = 6").orderBy("row_no").collect()
     assert [r.tokens for r in rows] == [["1", '{"y":[1,2]}'], ["5"], ["", ""]]
     assert [r.irregular for r in rows] == [False, True, True]
@@ -60,10 +64,39 @@ def test_json_outcome(spark):
 
 
 def test_json_search(spark):
-    paths = DO.json_paths(docs(spark, ['{"Calle": {"dir": [{"num": "12B"}, null]}, "x": true}']), "text", "file_id", 6)
-    assert {r.path for r in paths.collect()} == {"Calle", "Calle.dir", "Calle.dir[0]", "Calle.dir[0].num", "Calle.dir[1]", "x"}
-    assert [r.path for r in DO.search_json(paths, "12b").collect()] == ["Calle.dir[0].num"]
-    assert [r.path for r in DO.search_json(paths, "CALLE").collect()] == ["Calle"]
+    nodes = DO.json_nodes(docs(spark, ['{"Calle": {"dir": [{"num": "12B"}, null]}, "x": true}']))
+    assert {r.path for r in nodes.collect()} == {"Calle", "Calle.dir", "Calle.dir[0]", "Calle.dir[0].num", "Calle.dir[1]", "x"}
+    hits = DO.search_json(nodes, "12b")
+    assert [r.path for r in hits.collect()] == ["Calle.dir[0].num"]
+    assert [r.path for r in DO.search_json(nodes, "CALLE").collect()] == ["Calle"]
+    assert DO.search_json(nodes, "  ").count() == 0
+    assert {tuple(r) for r in DO.open_json_paths(hits).collect()} == {
+        (0, "", 1), (0, "Calle", 1), (0, "Calle.dir", 1), (0, "Calle.dir[0]", 1)}
+
+
+def plain_nodes(value, path="", above=()):
+    """Every node below a parsed value, by recursion."""
+    if not isinstance(value, dict | list):
+        return
+    listed = isinstance(value, list)
+    for name, child in enumerate(value) if listed else value.items():
+        place = f"{path}[{name}]" if listed else f"{path}.{name}" if path else name
+        branch = isinstance(child, dict | list)
+        leaf = None if branch else child if isinstance(child, str) else json.dumps(child)
+        yield place, None if listed else name, leaf, (*above, len(path))
+        yield from plain_nodes(child, place, (*above, len(path)))
+
+
+def test_json_nodes_of_any_depth(spark):
+    deep = '{"a":[' * 12 + '{"ñ.x":"[{}]","":"","n":-3,"t":false,"é":null}' + "]}" * 12
+    wide = json.dumps({f"k{n}": {"v": [n, str(n)]} for n in range(3000)})
+    texts = [deep, wide, "[[],{},[[1]]]", "{", None, "", "7", "null", deep, '{"quote":"a\\"b\\n"}']
+    got = DO.json_nodes(docs(spark, texts)).collect()
+    want = [(i, *node) for i, text in enumerate(texts) if text and text != "{" for node in plain_nodes(json.loads(text))]
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r.file_id, r.path, r.name, r.leaf, tuple(r.ends)) for r in got) == order(want)
+    assert all(r.depth == len(r.ends) for r in got) and max(r.depth for r in got) == 25
+    assert DO.json_nodes(docs(spark, [None])).count() == 0
 
 
 def test_geojson(spark):
