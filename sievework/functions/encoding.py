@@ -76,6 +76,41 @@ _UNITS = {
 }
 
 
+WIDE = tuple(_UNITS)
+
+
+def unit_bytes(encoding: str) -> int:
+    return 4 if "32" in encoding else 2
+
+
+def line_feed(encoding: str) -> tuple[str, int]:
+    """Where to cut for a line feed: the separator for the text reader, and the zero bytes before it.
+
+    A separator that begins like its own middle can be missed where a read
+    ends inside it, so big-endian files are cut at the last byte alone.
+    """
+    zeros = unit_bytes(encoding) - 1
+    return ("\n" + "\0" * zeros, 0) if encoding.endswith("le") else ("\n", zeros)
+
+
+def decode_units(raw: Column, encoding: str) -> Column:
+    """Bytes of a part of a UTF-16 or UTF-32 file, cut at whole units, as text.
+
+    Units that are no text each become U+FFFD, as does an incomplete last one.
+    """
+    digits = 2 * unit_bytes(encoding)
+    bad = {"utf_16_le": "FDFF", "utf_16_be": "FFFD", "utf_32_le": "FDFF0000", "utf_32_be": "0000FFFD"}[encoding]
+    good = _UNITS[encoding][1:-1]
+    text = F.hex(raw)
+    mended = F.when(text.rlike(_UNITS[encoding]), raw).otherwise(
+        F.unhex(F.regexp_replace(text, rf"\G({good})(.{{1,{digits}}})", f"$1{bad}")))
+    if digits == 4:
+        return F.decode(mended, f"UTF-16{encoding[-2:].upper()}")
+    # The charset has no order of its own; a mark in front names it and is dropped.
+    mark = F.unhex(F.lit("FFFE0000" if encoding.endswith("le") else "0000FEFF"))
+    return F.decode(F.concat(mark, mended), "UTF-32")
+
+
 def decode_text(content: Column) -> Column:
     """Text of a whole file's bytes, whatever its encoding, without the mark.
 

@@ -369,6 +369,31 @@ def physical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.unionByName(counted)
 
 
+# Stored encodings of the files of ``wide_rows`` by remainder, with the writer's names for them.
+WIDE_FILES = (("utf_16_le", "UTF-16LE"), ("utf_16_be", "UTF-16BE"), ("utf_32_be", "UTF-32"))
+
+
+@register("wide_rows", """
+select doc_id, case doc_id % 3 when 0 then 'utf_16_le' when 1 then 'utf_16_be' else 'utf_32_be' end as encoding,
+  3 as cells, md5(regexp_replace(coalesce(text, ''), '[\\x0A\\x0D]', ' ', 'g')) as digest from documents""")
+def wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a line of a marked UTF-16 or UTF-32 file, found by the mark and read back by line."""
+    target = f"{checkpoint_dir(spark).rstrip('/')}/wide-{uuid.uuid4().hex}"
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]", " ")
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat_ws(";", F.col("doc_id").cast("string"), quoted, F.lit("end")).alias("\ufeffdoc_id;text;end"))
+    for rest, (name, charset) in enumerate(WIDE_FILES):
+        lines.filter(F.col("doc_id") % 3 == rest).drop("doc_id").write.option("header", True).option("encoding", charset).option(
+            "sep", "\u0001").option("quote", "\u0000").option("ignoreLeadingWhiteSpace", False).option(
+            "ignoreTrailingWhiteSpace", False).csv(f"{target}/{name}")
+    rows, headers = DL.read_delimited(spark, [f"{target}/{name}" for name, _ in WIDE_FILES])
+    known = rows.join(headers.select("file_id", "encoding"), "file_id")
+    return known.select(
+        F.get("tokens", F.lit(0)).cast("bigint").alias("doc_id"), "encoding", F.size("tokens").alias("cells"),
+        F.md5(F.get("tokens", F.lit(1)).cast("binary")).alias("digest"))
+
+
 @register("text_scan", """
 select doc_id, cast(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as bigint) as lines from documents""")
 def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

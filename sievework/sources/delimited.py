@@ -7,14 +7,21 @@ text and split here, and every line keeps its 1-based physical number.
 Numbering without gathering a file: inside one input split the generated ids
 are consecutive, so a line's place in its split is a subtraction; the lines
 before the split come from the (small) table of split sizes.
+
+Files in UTF-16 and UTF-32 are cut at their own line feeds by the same reader,
+so they stay splittable too, and are decoded line by line.
 """
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.encoding import bom_encoding, decode_cp1252, is_cp1252, strip_bom
+from sievework.functions.encoding import (
+    WIDE, bom_encoding, decode_cp1252, decode_units, is_cp1252, line_feed, strip_bom, unit_bytes)
 from sievework.operators.groups import join_by_key
 from sievework.session import written_table
 
@@ -23,9 +30,23 @@ DELIMITERS = (";", ",", "\t", "|")
 GUESS_LINES = 20
 MAX_FIELDS_SCORED = 50
 
+_MIN_SPLITS = "spark.sql.files.minPartitionNum"
+
+
+def pin_splits(spark: SparkSession) -> None:
+    """Keep input splits the same from scan to scan.
+
+    Their size depends on the cores at hand unless a number is set, and lines
+    meet the split table by where splits start: executors lost or won between
+    the two scans must not move them.
+    """
+    if spark.conf.get(_MIN_SPLITS, None) is None:
+        spark.conf.set(_MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
+
 
 def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines with the input split they came from; ids ascend within a split."""
+    pin_splits(spark)
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("block_start"),
@@ -59,11 +80,100 @@ def place_lines(lines: DataFrame, splits: DataFrame) -> DataFrame:
     return lines.join(splits, ["file_id", "block_start"]).withColumn("row_no", row_no)
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file_id, row_no, value) for every physical line, blank ones included."""
+def wide_lines(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """Lines of UTF-16 or UTF-32 files as text, in the columns of ``raw_lines``.
+
+    The reader cuts wherever the bytes of ``line_feed`` stand, whole code units
+    or not, and misses no true line feed; only false cuts have to be mended.  A
+    cut is true when the bytes up to it make whole units and the zeros that
+    belong to it stand before it.  The first follows from running remainders
+    inside a split and, over the splits of a file, from the table of splits.
+    Pieces of one line, however many splits they span, are joined again; all
+    others pass as they are.
+    """
+    pin_splits(spark)
+    unit = unit_bytes(encoding)
+    sep, zeros = line_feed(encoding)
+    size = F.octet_length("value")
+    closed = F.hex(F.substring(F.col("value").cast("binary"), -zeros, zeros)) == "00" * zeros if zeros else F.lit(True)
+    raw = spark.read.option("lineSep", sep).text(path).select(
+        F.col("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_id"), "value",
+    ).withColumns({"rest": (size + len(sep)) % unit, "closed": closed})
+    in_file = Window.partitionBy("file_id").orderBy("block_start")
+    earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
+    shifts = raw.groupBy("file_id", "block_start").agg(
+        F.sum("rest").alias("n"), F.max(F.struct("line_id", "closed")).alias("last"),
+    ).select(
+        "file_id", "block_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"),
+        F.lag("last.closed", 1, True).over(in_file).alias("entered"))
+    split = Window.partitionBy("file_id", "block_start").orderBy("line_id")
+    before = split.rowsBetween(Window.unboundedPreceding, -1)
+    upto = split.rowsBetween(Window.unboundedPreceding, 0)
+    placed = raw.join(shifts, ["file_id", "block_start"])
+    aligned = (F.col("shift") + F.coalesce(F.sum("rest").over(before), F.lit(0))) % unit == 0
+    whole = aligned & F.coalesce(F.lag("closed").over(split), "entered")
+    own = F.when(F.col("whole"), F.struct("block_start", "line_id"))
+    pieces = written_table(placed.withColumn("whole", whole).withColumn(
+        "head", F.last(own, ignorenulls=True).over(upto)).drop("shift", "entered"), "wide-pieces")
+    carried = pieces.groupBy("file_id", "block_start").agg(F.max("head").alias("h")).select(
+        "file_id", "block_start", F.max("h").over(earlier).alias("carried"))
+
+    single = F.col("whole") & (F.col("rest") == 0) & F.col("closed")
+    split_up = pieces.filter(~single).join(carried, ["file_id", "block_start"])
+    parts = F.array_sort(F.collect_list(F.struct("block_start", "line_id", "value")))
+    mended = split_up.withColumn("head", F.coalesce("head", "carried")).groupBy("file_id", "head").agg(
+        F.array_join(F.transform(parts, lambda p: p["value"]), sep).alias("value"))
+    lines = pieces.filter(single).select("file_id", "block_start", "line_id", "value").unionByName(
+        mended.select("file_id", "head.block_start", "head.line_id", "value"))
+    body = F.col("value").cast("binary")
+    if zeros:  # those of the line feed; a file's last line may have none
+        body = F.when(closed & (size % unit == zeros), F.substr(body, F.lit(1), size - zeros)).otherwise(body)
+    # A carriage return ends a line too, alone or before the line feed.
+    text = F.regexp_replace(decode_units(body, encoding), r"\r\z", "")
+    broken = lines.select("file_id", "block_start", "line_id", F.posexplode(F.split(text, "\r")).alias("k", "value"))
+    order = Window.partitionBy("file_id", "block_start").orderBy("line_id", "k")
+    return broken.select("file_id", "block_start", F.row_number().over(order).cast("bigint").alias("line_id"), "value")
+
+
+def _reader_path(file_id: str) -> str:
+    """A file's address as the reader takes it: not escaped, and no pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file_id))
+
+
+def text_lines(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(lines, splits) of text files; splits also carry ``wide``, the encoding of UTF-16 and UTF-32 files.
+
+    Those are known by their mark, or all files are such when ``encoding`` says
+    so.  Only their addresses are gathered on the driver, for the reader.
+    """
+    if encoding in WIDE:
+        lines = written_table(wide_lines(spark, path, encoding), "wide-lines")
+        return lines, split_table(lines).withColumn("wide", F.lit(encoding))
     lines = raw_lines(spark, path)
-    splits = split_table(lines).drop("n", "utf8", "first_line")
-    return place_lines(lines, splits).select("file_id", "row_no", "value")
+    splits = written_table(split_table(lines), "splits")
+    mark = F.when(F.col("block_start") == 0, bom_encoding(F.col("first_line")))
+    marked = splits.select("file_id", mark.alias("wide")).filter(F.col("wide").isin(*WIDE))
+    found: dict[str, list[str]] = {}
+    for row in marked.collect():
+        found.setdefault(row["wide"], []).append(row["file_id"])
+    splits = splits.withColumn("wide", F.lit(None).cast("string"))
+    if not found:
+        return lines, splits
+    lines = lines.join(marked, "file_id", "left_anti")
+    splits = splits.join(marked.select("file_id"), "file_id", "left_anti")
+    for name, files in sorted(found.items()):
+        decoded = written_table(wide_lines(spark, [_reader_path(f) for f in sorted(files)], name), "wide-lines")
+        lines = lines.unionByName(decoded)
+        splits = splits.unionByName(split_table(decoded).withColumn("wide", F.lit(name)))
+    return lines, splits
+
+
+def read_lines(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
+    """(file_id, row_no, value) for every physical line, blank ones included."""
+    lines, splits = text_lines(spark, path, encoding)
+    return place_lines(lines, splits.drop("n", "utf8", "first_line", "wide")).select("file_id", "row_no", "value")
 
 
 def cell_pattern(sep: Column) -> Column:
@@ -95,22 +205,30 @@ def guess_delimiters(lines: DataFrame, order: tuple[str, ...] = ("row_no",)) ->
     """Delimiter per file from its first lines.
 
     The candidate with the most even field count wins, then the one with more
-    fields; a single-column file has none.  The rank limit is applied in every
-    task before the exchange, so only the heads of the files travel.
+    fields; a single-column file has none.  ``frequent`` is the candidate seen
+    most often in those lines, if any.  The rank limit is applied in every task
+    before the exchange, so only the heads of the files travel.
     """
     in_file = Window.partitionBy("file_id").orderBy(*order)
     head = lines.withColumn("__k", F.row_number().over(in_file)).filter(
         F.col("__k") <= GUESS_LINES + 1).filter("value <> ''")
     counted = head.select(
         "file_id", "__k",
-        F.posexplode(F.array(*[F.size(split_cells(F.col("value"), d)) for d in DELIMITERS])).alias("rank", "fields"))
+        F.posexplode(F.array(*[F.struct(
+            F.size(split_cells(F.col("value"), d)).alias("fields"),
+            (F.length("value") - F.length(F.replace("value", F.lit(d)))).alias("seen")) for d in DELIMITERS])).alias("rank", "c"),
+    ).select("file_id", "__k", "rank", "c.fields", "c.seen")
     first = F.first("fields").over(Window.partitionBy("file_id", "rank").orderBy("__k"))
     scored = counted.withColumn("first", first).groupBy("file_id", "rank", "first").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("fields") == F.col("first")).alias("even")
-    ).filter((F.col("n") >= 2) & (F.col("first") >= 2))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("fields") == F.col("first")).alias("even"),
+        F.sum("seen").alias("seen"))
     score = F.col("even") / F.col("n") * 100 + F.least(F.col("first"), F.lit(MAX_FIELDS_SCORED))
-    best = scored.groupBy("file_id").agg(F.max_by("rank", F.struct(score, -F.col("rank"))).alias("rank"))
-    return best.select("file_id", F.get(F.array(*[F.lit(d) for d in DELIMITERS]), F.col("rank")).alias("sep"))
+    even = F.when((F.col("n") >= 2) & (F.col("first") >= 2), F.struct(score, -F.col("rank")))
+    often = F.when(F.col("seen") > 0, F.struct("seen", -F.col("rank")))
+    best = scored.groupBy("file_id").agg(
+        F.max_by("rank", even).alias("rank"), F.max_by("rank", often).alias("often"))
+    names = F.array(*[F.lit(d) for d in DELIMITERS])
+    return best.select("file_id", F.get(names, F.col("rank")).alias("sep"), F.get(names, F.col("often")).alias("frequent"))
 
 
 def guess_delimiter(lines: Column) -> Column:
@@ -233,21 +351,22 @@ def read_delimited(
     first; headers: (file_id, sheet, header, sep, encoding), one per file.
     With ``multiline`` a quoted cell may run over several lines (the header
     line may not).  The text reader drops a UTF-8 mark by itself; files in
-    UTF-16 or UTF-32 are recognised by theirs and named in ``headers``, but
-    have to be converted before they can be read by line.
+    UTF-16 or UTF-32 are recognised by theirs, or named by ``encoding``, and
+    decoded.  A file no delimiter splits evenly has the one seen most often in
+    its first lines, else the comma.
 
     Encoding, delimiter and header ride on the split table, so the lines meet
     them in the same join that numbers them.
     """
-    lines = raw_lines(spark, path)
-    splits = split_table(lines)
+    lines, splits = text_lines(spark, path, encoding)
     files = splits.groupBy("file_id").agg(
-        F.min_by("first_line", F.col("block_start")).alias("first_line"), F.bool_and("utf8").alias("utf8"))
-    found = F.coalesce(bom_encoding(F.col("first_line")), F.when(F.col("utf8"), "utf-8").otherwise("cp1252"))
+        F.min_by("first_line", F.col("block_start")).alias("first_line"), F.bool_and("utf8").alias("utf8"),
+        F.max("wide").alias("wide"))
+    found = F.coalesce("wide", bom_encoding(F.col("first_line")), F.when(F.col("utf8"), "utf-8").otherwise("cp1252"))
     files = files.withColumn("encoding", F.lit(encoding) if encoding else found)
     if sep is None:
         guessed = guess_delimiters(lines.filter("block_start = 0"), ("line_id",))
-        files = files.join(guessed, "file_id", "left").withColumn("sep", F.coalesce("sep", F.lit(DELIMITERS[0])))
+        files = files.join(guessed, "file_id", "left").withColumn("sep", F.coalesce("sep", "frequent", F.lit(",")))
     else:
         files = files.withColumn("sep", F.lit(sep))
 
@@ -257,7 +376,7 @@ def read_delimited(
     headers = files.select(
         "file_id", F.lit("").alias("sheet"),
         split_cells(strip_bom(text(F.col("first_line"))), F.col("sep")).alias("header"), "sep", "encoding")
-    placed = place_lines(lines, splits.drop("n", "utf8", "first_line").join(headers, "file_id"))
+    placed = place_lines(lines, splits.drop("n", "utf8", "first_line", "wide").join(headers, "file_id"))
     if multiline:
         placed = join_quoted_lines(placed)
     rows = placed.filter("row_no > 1").select(
@@ -286,7 +405,7 @@ def scan_text(lines: DataFrame) -> DataFrame:
     in_file = Window.partitionBy("file_id").orderBy("row_no")
     firsts = filled.withColumn("__k", F.row_number().over(in_file)).filter("__k <= 3")
     heads = firsts.groupBy("file_id").agg(F.collect_list("value").alias("__h"))
-    out = counted.join(heads, "file_id", "left").join(guess_delimiters(lines), "file_id", "left")
+    out = counted.join(heads, "file_id", "left").join(guess_delimiters(lines).drop("frequent"), "file_id", "left")
     all_files = lines.select("file_id").distinct()
     tabular = F.col("sep").isNotNull() & (F.size("__h") > 0) & F.forall(
         "__h", lambda h: h.contains(F.col("sep")))

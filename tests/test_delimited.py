@@ -215,3 +215,64 @@ def test_quoted_records_of_any_number_of_lines(spark, tmp_path):
     got = sorted((r.file_id[-5:], r.row_no, r.n) for r in rows.select("file_id", "row_no", F.length(F.get("tokens", F.lit(1))).alias("n")).collect())
     assert [g[:2] for g in got] == [("a.csv", 2), ("a.csv", 12_002), ("b.csv", 2), ("b.csv", 4), ("b.csv", 5)]
     assert got[0][2] == len(long) and got[2][2] == len("two\nlines")
+
+
+# In UTF-16 and UTF-32 the bytes of some neighbours look like a line feed across two units.
+TRICKY = "\u0a85\u0100 \u0100\u0a00\u0a0a\u0a00 \U0001f600 ñ"
+
+
+@pytest.mark.parametrize("encoding", EN.WIDE)
+@pytest.mark.parametrize("marked", [True, False])
+def test_wide_lines_over_many_splits(spark, tmp_path, encoding, marked):
+    rng = random.Random(7)
+    texts = {}
+    for name in ("plain.csv", "odd [1] {x} 100%.csv"):
+        lines = ["key;text"] + [
+            f"{k};" + "".join(rng.choice(TRICKY) for _ in range(rng.choice((0, 3, 40)))) for k in range(150)]
+        lines.insert(5, "")
+        lines.append("z;" + TRICKY * 200)
+        texts[name] = lines
+        body = "".join(line + rng.choice(("\n", "\r\n", "\r")) for line in lines).encode(encoding)
+        write(tmp_path, name, ("\ufeff".encode(encoding) if marked else b"") + body)
+    if marked:
+        write(tmp_path, "narrow.csv", "key;text\n1;a\n2;b\n")
+        texts["narrow.csv"] = ["key;text", "1;a", "2;b"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "701")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = DL.read_lines(spark, str(tmp_path), None if marked else encoding).collect()
+        rows, headers = DL.read_delimited(spark, str(tmp_path), encoding=None if marked else encoding)
+        heads = {r.file_id.rsplit("/", 1)[1]: (r.encoding, [c for c in r.header], r.sep) for r in headers.collect()}
+        n_rows = rows.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    found = {}
+    for r in got:
+        found.setdefault(DL.unquote(r.file_id).rsplit("/", 1)[1], []).append((r.row_no, r.value.lstrip("\ufeff")))
+    assert {k: sorted(v) for k, v in found.items()} == {
+        k: [(i, line) for i, line in enumerate(v, 1)] for k, v in texts.items()}
+    assert heads["plain.csv"] == (encoding, ["key", "text"], ";")
+    assert n_rows == sum(len(v) - 1 for v in texts.values())
+
+
+def test_wide_carriage_returns_end_lines_like_in_other_text(spark, tmp_path):
+    text = "a;b\r\r\n1;2\r\r\r3;4\r\n"
+    wide = write(tmp_path, "w.csv", ("\ufeff" + text).encode("utf-16-be"))
+    narrow = write(tmp_path, "n.csv", text)
+    lines = lambda path: [(r.row_no, r.value.lstrip("\ufeff")) for r in DL.read_lines(spark, path).orderBy("row_no").collect()]
+    assert lines(wide) == lines(narrow) == [(1, "a;b"), (2, ""), (3, "1;2"), (4, ""), (5, ""), (6, "3;4")]
+
+
+def test_wide_damage_is_kept_visible(spark, tmp_path):
+    data = "﻿a;b\n1;x\n".encode("utf-16-le") + b"\x00\xd8" + "y\n".encode("utf-16-le") + b"\x41"
+    write(tmp_path, "cut.csv", data)
+    rows, _ = DL.read_delimited(spark, str(tmp_path), sep=";")
+    assert [(r.row_no, r.tokens) for r in rows.orderBy("row_no").collect()] == [
+        (2, ["1", "x"]), (3, ["\ufffdy"]), (4, ["\ufffd"])]
+
+
+@pytest.mark.parametrize("text,sep", [("a|b|c\n", "|"), ("a\n", ","), ("a;b\n", ";"), ("a,b;c,d\n", ",")])
+def test_header_alone_takes_the_most_frequent_delimiter(spark, tmp_path, text, sep):
+    write(tmp_path, "h.csv", text)
+    assert DL.read_delimited(spark, str(tmp_path))[1].first().sep == sep
