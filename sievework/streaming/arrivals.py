@@ -1,9 +1,10 @@
 """Audit files as they arrive.
 
-A stream of new files (or rows) is audited batch by batch into a results
-table.  The table itself is the state: a key that already has a result is not
-audited again, and a batch that is replayed after a failure overwrites its own
-output, so late, repeated and re-run input all end in the same table.
+A stream of new files (or rows) is audited into a results table, a folder per
+batch.  The keys seen so far are kept in the stream's state store, so a batch
+costs what it holds and no earlier result is read again.  A batch replayed
+after a failure starts from the state before it and overwrites its own output:
+late, repeated and re-run input all end in the same table.
 """
 
 from __future__ import annotations
@@ -17,25 +18,35 @@ from sievework.functions.sniff import detected_type, sniff, type_conformance
 from sievework.operators.files import is_effectively_empty
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+
+
+def state_on_disk(spark: SparkSession) -> None:
+    """Keep state outside the heap and save what a batch changed, unless the cluster has chosen a store."""
+    if not spark.sparkContext.getConf().contains(_PROVIDER):
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        spark.conf.set(_CHANGELOG, "true")
+
+
 def audit_stream(
     stream: DataFrame, audit: Callable[[DataFrame], DataFrame], key: str, target: str, checkpoint: str,
 ):
     """Run the audit over everything that has arrived, then stop.
 
-    Returns the finished query.  ``audit`` maps a batch of rows to one result
-    row per ``key``.
+    Returns the finished query.  ``audit`` maps each row to its result and
+    keeps ``key``.  It comes before the exchange by key, so payloads do not
+    travel.  The first batch a key arrives in gives its result; of several
+    rows with one key in that batch any may be kept.  A null is a key like any
+    other.
     """
-    spark = stream.sparkSession
+    state_on_disk(stream.sparkSession)
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        results = audit(batch.dropDuplicates([key]))
-        if batch_id > 0:
-            earlier = spark.read.parquet(target).filter(F.col("batch") < batch_id).select(key)
-            results = results.join(earlier, key, "left_anti")
-        results.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(process)
+        audit(stream).dropDuplicates([key]).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()

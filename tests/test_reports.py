@@ -95,6 +95,44 @@ def test_stream_audits_new_files_once(spark, tmp_path):
     assert spark.read.parquet(target).groupBy("path").count().filter("count > 1").count() == 0
 
 
+def test_stream_knows_keys_without_reading_results(spark, tmp_path):
+    source, target, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    schema = "k int, content string"
+
+    def arrive(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{name}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source)
+        return arrivals.audit_stream(stream, arrivals.audit_payloads, "k", target, state)
+
+    def results():
+        return sorted((r.k is not None, r.k or 0, r.kind) for r in spark.read.parquet(target).collect())
+
+    arrive([(1, "<html>"), (2, "[1]"), (2, "[1]"), (None, "{}")], "a")
+    assert results() == [(False, 0, "json"), (True, 1, "html"), (True, 2, "json")]
+    # Without the earlier results at hand, keys already seen are still known.
+    target = str(tmp_path / "out2")
+    query = arrive([(2, "<html>"), (3, "<a/>"), (None, "[]")], "b")
+    assert results() == [(True, 3, "xml")]
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 4
+    assert not query.exception()
+
+
+def test_replayed_batch_gives_the_same_results(spark, tmp_path):
+    source, target, state = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "state"
+    spark.createDataFrame([(1, "[1]"), (2, "<html>")], "k int, content string").write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("k int, content string").parquet(source)
+        arrivals.audit_stream(stream, arrivals.audit_payloads, "k", target, str(state))
+        return sorted((r.k, r.kind, r.batch) for r in spark.read.parquet(target).collect())
+
+    first = run()
+    # As after a failure between the output and the note that the batch is done.
+    for note in (state / "commits").glob("*"):
+        note.unlink()
+    assert run() == first == [(1, "json", 0), (2, "html", 0)]
+
+
 def test_empty_export_has_its_header(spark, tmp_path):
     RP.export_csv(spark.createDataFrame([], "a string, b int"), str(tmp_path / "out"))
     data = b"".join(open(p, "rb").read() for p in glob.glob(str(tmp_path / "out" / "part-*")))
