@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework import dims
@@ -18,7 +18,7 @@ from sievework.operators import work as W
 from sievework.plans import star
 from sievework.plans.report import ROWS_SQL, case_map, half_up, pct, quoted
 from sievework.plans.star import STAR_SQL, table
-from sievework.session import checkpoint_dir
+from sievework.session import checkpoint_dir, written_table
 from sievework.sources import catalog_xml
 
 QUERIES: dict = {}
@@ -517,12 +517,25 @@ RDF = (
 )
 
 
-def written_catalog(spark: SparkSession, sf_dir: str) -> str:
+def written_catalog(spark: SparkSession, sf_dir: str, entry: Column | None = None) -> str:
     target = f"{checkpoint_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "orders").select(F.expr(RDF).alias("value")).write.text(target)
+    entry = F.expr(RDF) if entry is None else entry
+    table(spark, sf_dir, "orders").select(entry.alias("value")).write.text(target)
     return target
 
 
+@register("catalog_rejects", """
+select o_orderkey, o_orderstatus <> 'P' as readable from orders""")
+def catalog_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue entries that are read and those that are no XML: the ones of pending orders close an element they never open."""
+    broken = F.replace(F.expr(RDF), F.lit("</dcat:Dataset>"), F.lit("</dct:lost></dcat:Dataset>"))
+    path = written_catalog(spark, sf_dir, F.when(F.col("o_orderstatus") == "P", broken).otherwise(F.expr(RDF)))
+    parsed = written_table(catalog_xml.parse_datasets(catalog_xml.dataset_fragments(spark, path)), "parsed")
+    key = lambda c: F.regexp_extract(c, r"datos\.example/set/(\d+)", 1).cast("bigint").alias("o_orderkey")
+    lost = catalog_xml.rejected_datasets(parsed).select(key("xml"), F.lit(False).alias("readable"))
+    return catalog_xml.catalog_datasets(parsed).select(key("dataset_id"), F.lit(True).alias("readable")).unionByName(lost)
+
+
 @register("catalog_scan_files", """
 select 'http://datos.example/set/' || o_orderkey as dataset_id, 'Conjunto & ' || o_orderkey as dataset_title, 0 as idx,
        'CSV' as format, 'text/csv' as mime, 'http://x/' || o_orderkey || '.csv' as url from orders

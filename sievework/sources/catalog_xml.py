@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sievework.functions.metadata import periodicity_months
 from sievework.functions.text import category_of, license_label, mime_format
 from sievework.functions.xml_text import repair_xml
-from sievework.sources.delimited import place_lines, split_table
+from sievework.sources.delimited import pin_splits, place_lines, split_table
 
 _RESOURCE = "STRUCT<_resource: STRING, _VALUE: STRING>"
 DATASET_SCHEMA = f"""
@@ -47,13 +47,15 @@ def escape_descriptions(xml: Column, tag: str = "dct:description") -> Column:
 
 def drop_prefixes(xml: Column) -> Column:
     names = F.regexp_replace(xml, r"(</?)[A-Za-z_][\w.-]*:(?=[A-Za-z_])", "$1")
-    # An attribute's prefix: what comes next among the angle brackets closes the tag.
-    return F.regexp_replace(names, r"(\s)[A-Za-z_][\w.-]*:(?=[A-Za-z_][\w.-]*\s*=[^<>]*>)", "$1")
+    # Attributes one by one from the tag's name on, values whole: what looks like a prefix inside a value stays.
+    attribute = r"""(\s+)(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*\s*=\s*(?:"[^"]*"|'[^']*'))"""
+    return F.regexp_replace(names, r"(<[^\s<>/=!?\"']+|(?!^)\G)" + attribute, "$1$2$3")
 
 
 def dataset_fragments(spark: SparkSession, path: str, tag: str = "dcat:Dataset") -> DataFrame:
     """(source, dataset_index, xml): one row per dataset element, in document order."""
     close = f"</{tag}>"
+    pin_splits(spark)
     lines = spark.read.option("lineSep", close).text(path).select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("block_start"),

@@ -1,5 +1,6 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from sievework.functions import metadata as M
@@ -195,3 +196,14 @@ def test_catalogue_repairs_and_rejects(spark, tmp_path):
     assert got == [("one", "Bread & milk"), ("three", "y")]
     lost = catalog_xml.rejected_datasets(parsed).collect()
     assert [r.dataset_index for r in lost] == [1] and "two" in lost[0].xml
+
+
+@pytest.mark.parametrize("xml,plain", [
+    ('<a:b x:y="1" z="see x:y=1 and p:q=\'2\'"/>', '<b y="1" z="see x:y=1 and p:q=\'2\'"/>'),
+    ("<b t = 'a:b=\"c\" d:e=\"f\"'  r:about=\"http://h/?k:v=1\">x:y=\"1\"</b>",
+     "<b t = 'a:b=\"c\" d:e=\"f\"'  about=\"http://h/?k:v=1\">x:y=\"1\"</b>"),
+    ('<p:a\n q:b="1"\n q:c=""><r:d/></p:a>', '<a\n b="1"\n c=""><d/></a>'),
+    (' x:y="1" is text', ' x:y="1" is text'),
+])
+def test_prefixes_go_from_names_only(spark, xml, plain):
+    assert spark.range(1).select(catalog_xml.drop_prefixes(F.lit(xml)).alias("x")).first().x == plain
