@@ -88,19 +88,46 @@ def wide_lines(spark: SparkSession, path: str | list[str], encoding: str) -> Dat
     cut is true when the bytes up to it make whole units and the zeros that
     belong to it stand before it.  The first follows from running remainders
     inside a split and, over the splits of a file, from the table of splits.
-    Pieces of one line, however many splits they span, are joined again; all
-    others pass as they are.
+    Files without a false cut are decoded as they are read.  In the others the
+    pieces of one line, however many splits they span, are joined again; their
+    lines are written once.
     """
     pin_splits(spark)
     unit = unit_bytes(encoding)
     sep, zeros = line_feed(encoding)
     size = F.octet_length("value")
     closed = F.hex(F.substring(F.col("value").cast("binary"), -zeros, zeros)) == "00" * zeros if zeros else F.lit(True)
-    raw = spark.read.option("lineSep", sep).text(path).select(
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"), "value",
-    ).withColumns({"rest": (size + len(sep)) % unit, "closed": closed})
+
+    def read(files: str | list[str]) -> DataFrame:
+        return spark.read.option("lineSep", sep).text(files).select(
+            F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block_start"), "value")
+
+    def broken(lines: DataFrame, *keys: str) -> DataFrame:
+        body = F.col("value").cast("binary")
+        if zeros:  # those of the line feed; a file's last line may have none
+            body = F.when(closed & (size % unit == zeros), F.substr(body, F.lit(1), size - zeros)).otherwise(body)
+        # A carriage return ends a line too, alone or before the line feed.
+        text = F.regexp_replace(decode_units(body, encoding), r"\r\z", "")
+        return lines.select(*keys, F.posexplode(F.split(text, "\r")).alias("k", "value"))
+
+    numbered = lambda files: read(files).withColumns({
+        "line_id": F.monotonically_increasing_id(), "rest": (size + len(sep)) % unit, "closed": closed})
+    true_cut = F.col("closed") & (F.col("rest") == 0)
+    cuts = written_table(numbered(path).groupBy("file_id", "block_start").agg(
+        F.count_if(~true_cut).alias("false"), F.max(F.struct("line_id", true_cut.alias("true"))).alias("last")), "cuts")
+    # What ends a file need not be a line feed.
+    mixed = cuts.groupBy("file_id").agg(
+        F.sum("false").alias("false"), F.max(F.struct("block_start", "last.true")).alias("last")).filter(
+        F.col("false") > F.when(F.col("last.true"), 0).otherwise(1)).select("file_id")
+    columns = ["file_id", "block_start", "line_id", "value"]
+    clean = broken(read(path), "file_id", "block_start").withColumn(
+        "line_id", F.monotonically_increasing_id()).select(*columns)
+    to_mend = [_reader_path(r["file_id"]) for r in mixed.collect()]
+    if not to_mend:
+        return clean
+    clean = clean.join(mixed, "file_id", "left_anti")
+
+    raw = numbered(to_mend)
     in_file = Window.partitionBy("file_id").orderBy("block_start")
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     shifts = raw.groupBy("file_id", "block_start").agg(
@@ -120,21 +147,17 @@ def wide_lines(spark: SparkSession, path: str | list[str], encoding: str) -> Dat
     carried = pieces.groupBy("file_id", "block_start").agg(F.max("head").alias("h")).select(
         "file_id", "block_start", F.max("h").over(earlier).alias("carried"))
 
-    single = F.col("whole") & (F.col("rest") == 0) & F.col("closed")
+    single = F.col("whole") & true_cut
     split_up = pieces.filter(~single).join(carried, ["file_id", "block_start"])
     parts = F.array_sort(F.collect_list(F.struct("block_start", "line_id", "value")))
     mended = split_up.withColumn("head", F.coalesce("head", "carried")).groupBy("file_id", "head").agg(
         F.array_join(F.transform(parts, lambda p: p["value"]), sep).alias("value"))
-    lines = pieces.filter(single).select("file_id", "block_start", "line_id", "value").unionByName(
+    lines = pieces.filter(single).select(*columns).unionByName(
         mended.select("file_id", "head.block_start", "head.line_id", "value"))
-    body = F.col("value").cast("binary")
-    if zeros:  # those of the line feed; a file's last line may have none
-        body = F.when(closed & (size % unit == zeros), F.substr(body, F.lit(1), size - zeros)).otherwise(body)
-    # A carriage return ends a line too, alone or before the line feed.
-    text = F.regexp_replace(decode_units(body, encoding), r"\r\z", "")
-    broken = lines.select("file_id", "block_start", "line_id", F.posexplode(F.split(text, "\r")).alias("k", "value"))
     order = Window.partitionBy("file_id", "block_start").orderBy("line_id", "k")
-    return broken.select("file_id", "block_start", F.row_number().over(order).cast("bigint").alias("line_id"), "value")
+    whole_lines = broken(lines, "file_id", "block_start", "line_id").withColumn(
+        "line_id", F.row_number().over(order).cast("bigint")).select(*columns)
+    return clean.unionByName(written_table(whole_lines, "wide-lines"))
 
 
 def _reader_path(file_id: str) -> str:
@@ -146,10 +169,10 @@ def text_lines(spark: SparkSession, path: str | list[str], encoding: str | None
     """(lines, splits) of text files; splits also carry ``wide``, the encoding of UTF-16 and UTF-32 files.
 
     Those are known by their mark, or all files are such when ``encoding`` says
-    so.  Only their addresses are gathered on the driver, for the reader.
+    so.  Only addresses of files are gathered on the driver, for the reader.
     """
     if encoding in WIDE:
-        lines = written_table(wide_lines(spark, path, encoding), "wide-lines")
+        lines = wide_lines(spark, path, encoding)
         return lines, split_table(lines).withColumn("wide", F.lit(encoding))
     lines = raw_lines(spark, path)
     splits = written_table(split_table(lines), "splits")
@@ -164,7 +187,7 @@ def text_lines(spark: SparkSession, path: str | list[str], encoding: str | None
     lines = lines.join(marked, "file_id", "left_anti")
     splits = splits.join(marked.select("file_id"), "file_id", "left_anti")
     for name, files in sorted(found.items()):
-        decoded = written_table(wide_lines(spark, [_reader_path(f) for f in sorted(files)], name), "wide-lines")
+        decoded = wide_lines(spark, [_reader_path(f) for f in sorted(files)], name)
         lines = lines.unionByName(decoded)
         splits = splits.unionByName(split_table(decoded).withColumn("wide", F.lit(name)))
     return lines, splits

@@ -234,6 +234,8 @@ def test_wide_lines_over_many_splits(spark, tmp_path, encoding, marked):
         texts[name] = lines
         body = "".join(line + rng.choice(("\n", "\r\n", "\r")) for line in lines).encode(encoding)
         write(tmp_path, name, ("\ufeff".encode(encoding) if marked else b"") + body)
+    texts["clean.csv"] = ["key;text", "1;é", "", "2;b", "last"]
+    write(tmp_path, "clean.csv", ("\ufeff" * marked + "\n".join(texts["clean.csv"])).encode(encoding))
     if marked:
         write(tmp_path, "narrow.csv", "key;text\n1;a\n2;b\n")
         texts["narrow.csv"] = ["key;text", "1;a", "2;b"]
