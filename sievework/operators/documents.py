@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievework.functions import json_text as J
 from sievework.functions import scores as S
 from sievework.functions.xml_text import tag_scan
-from sievework.operators.groups import number_within, running_sum
+from sievework.operators.groups import number_within, running_sum, spread
 from sievework.session import checkpoint_dir
 
 # Shapefile parts, inflation limits and GeoJSON types.
@@ -22,6 +22,8 @@ MAX_INFLATED = 8 * 1024 * 1024 * 1024
 GEOMETRY_TYPES = ("Feature", "Point", "LineString", "Polygon", "MultiPoint", "MultiLineString",
                   "MultiPolygon", "GeometryCollection")
 GML_GEOMETRIES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "MultiGeometry")
+#: Hits whose branches one task counts.
+HITS_PER_TASK = 100_000
 KML_ROOT = "{http://www.opengis.net/kml/2.2}kml"
 
 
@@ -32,7 +34,7 @@ def json_records(docs: DataFrame, text: str = "text", key: str = "file_id") -> D
     ``layout`` is ``pairs``, ``lists`` or ``objects``; documents without
     records are left out.
     """
-    found = J.record_lists(docs.select(key, text), text).filter("records is not null")
+    found = J.record_lists(spread(docs.select(key, text)), text).filter("records is not null")
     listed = J.computed(found, {"items": J.items_of(F.col("records"))}).drop(text, "records")
     facts = J.computed(listed, J.item_facts(F.col("items")))
     # A one-key wrapper around every record is taken off once.
@@ -143,7 +145,7 @@ def json_nodes(docs: DataFrame, text: str = "text", key: str = "file_id") -> Dat
     depth = 1
     while True:
         level = f"{folder}/depth={depth}"
-        _json_children(frontier, key).write.parquet(level)
+        _json_children(spread(frontier), key).write.parquet(level)
         opened = spark.read.parquet(level).filter("branch is not null")
         if opened.isEmpty():
             break
@@ -177,7 +179,9 @@ def search_json(nodes: DataFrame, needle: str) -> DataFrame:
 
 def open_json_paths(hits: DataFrame, key: str = "file_id") -> DataFrame:
     """Branches to unfold so that every hit is seen: (key, path, hits below), the root being the empty path."""
-    above = hits.select(key, "path", F.explode("ends").alias("end"))
+    # Nearly every branch is a group of its own, so what a task holds before the exchange follows from the hits it reads.
+    tasks = -(-hits.count() // HITS_PER_TASK) or 1
+    above = hits.repartition(tasks).select(key, "path", F.explode("ends").alias("end"))
     return above.groupBy(key, F.expr("left(path, end)").alias("path")).agg(F.count(F.lit(1)).alias("hits"))
 
 

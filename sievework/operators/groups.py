@@ -100,6 +100,16 @@ def running_sum(
     return summed.join(bases, [*keys, _BLOCK]).withColumn(out, F.col(out) + F.col(_BASE)).drop(_BLOCK, _BASE)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over the cluster, for costly work per row.
+
+    Small rows compress well, so a table of very many may be a few input splits
+    or even one.  The number of tasks is left to AQE: as many as there are
+    cores, more where the rows are larger.
+    """
+    return df.hint("rebalance")
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
     """Position of the first row of each group: a plain minimum, combined map-side."""
     return df.groupBy(*keys).agg(F.min(position).alias(position))

@@ -191,3 +191,15 @@ def test_large_archives(spark):
     whole = b"PK\x03\x04" + b"\x50" * 300_000 + archive(["a.shp"])
     df = spark.createDataFrame([(0, bytearray(whole)), (1, bytearray(whole[:-40]))], "i int, b binary")
     assert [r.x for r in df.orderBy("i").select(SN.is_truncated_zip(F.col("b")).alias("x")).collect()] == [False, True]
+
+
+def test_documents_are_dealt_over_the_cluster(spark, monkeypatch):
+    """Rows of one input split are dealt before they are parsed; branches are counted by a bounded number of hits a task."""
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    docs = spark.createDataFrame([(k, '{"a":{"k":[1,2]}}') for k in range(40)], "file_id bigint, text string").coalesce(1)
+    assert "RebalancePartitions" in plan(DO.json_records(docs))
+    hits = DO.search_json(DO.json_nodes(docs), "k")
+    monkeypatch.setattr(DO, "HITS_PER_TASK", 10)
+    opened = DO.open_json_paths(hits)
+    assert "Repartition 4, true" in plan(opened)
+    assert sorted({(r.path, r.hits) for r in opened.collect()}) == [("", 1), ("a", 1)] and opened.count() == 80
