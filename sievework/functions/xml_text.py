@@ -103,6 +103,15 @@ def tag_scan(docs: DataFrame, text: str, out: str, mend: bool = False) -> DataFr
         *[F.when(c("__ok"), value).alias(name) for name, value in facts.items()])}).select(*docs.columns, out)
 
 
+def escape_ampersands(text: Column) -> Column:
+    """Escape loose ampersands; texts with none but those of the five named entities are left as they are."""
+    rest = text
+    for name in ("amp", "lt", "gt", "quot", "apos"):
+        rest = F.replace(rest, F.lit(f"&{name};"), F.lit(""))
+    escaped = F.regexp_replace(text, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)", "&amp;")
+    return F.when(rest.contains("&"), escaped).otherwise(text)
+
+
 def repair_xml(text: Column) -> Column:
     """Escape loose ampersands and drop control characters XML does not allow."""
     escaped = F.regexp_replace(text, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);)", "&amp;")

@@ -11,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.json_text import computed
 from sievework.functions.metadata import periodicity_months
 from sievework.functions.text import category_of, license_label, mime_format
-from sievework.functions.xml_text import repair_xml
+from sievework.functions.xml_text import escape_ampersands, repair_xml
+from sievework.session import written_table
 from sievework.sources.delimited import pin_splits, place_lines, split_table
 
 _RESOURCE = "STRUCT<_resource: STRING, _VALUE: STRING>"
@@ -29,20 +31,25 @@ DATASET_SCHEMA = f"""
 """
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def escape_descriptions(xml: Column, tag: str = "dct:description") -> Column:
     """Escape ``<`` and ``>`` between each opening tag and its first closing tag."""
     close = f"</{tag}>"
-    opening = rf"(?s)^(.*?<{tag}[^>]*>)(.*)$"
+    opening = rf"(?s)^.*?<{tag}[^>]*>"
+
+    def safe(content: Column) -> Column:
+        return F.replace(F.replace(content, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     def repair(piece: Column) -> Column:
-        content = F.regexp_extract(piece, opening, 2)
-        safe = F.replace(F.replace(content, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-        return F.when(piece.rlike(opening), F.concat(F.regexp_extract(piece, opening, 1), safe)).otherwise(piece)
+        return _bound(F.regexp_extract(piece, opening, 0), lambda head: F.when(
+            head != "", F.concat(head, safe(F.substr(piece, F.length(head) + 1)))).otherwise(piece))
 
-    pieces = F.split(xml, close)
-    n = F.size(pieces)
-    repaired = F.transform(pieces, lambda p, i: F.when(i < n - 1, repair(p)).otherwise(p))
-    return F.array_join(repaired, close)
+    return _bound(F.split(xml, close), lambda pieces: F.array_join(F.transform(
+        pieces, lambda p, i: F.when(i < F.size(pieces) - 1, repair(p)).otherwise(p)), close))
 
 
 def drop_prefixes(xml: Column) -> Column:
@@ -60,18 +67,27 @@ def dataset_fragments(spark: SparkSession, path: str, tag: str = "dcat:Dataset")
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"), "value")
-    placed = place_lines(lines, split_table(lines).drop("n", "utf8", "first_line"))
-    body = F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)$", 1)
-    return placed.filter(body != "").select(
+    # Written first, so that its size is known: as a small table it goes to the lines, which stay where they were read.
+    splits = written_table(split_table(lines).drop("n", "utf8", "first_line"), "splits")
+    body = computed(place_lines(lines, splits), {"body": F.regexp_extract("value", rf"(?s)(<{tag}[\s>].*)$", 1)})
+    return body.filter("body <> ''").select(
         F.col("file_id").alias("source"), (F.col("row_no") - 1).alias("dataset_index"),
-        F.concat(body, F.lit(close)).alias("xml"))
+        F.concat("body", F.lit(close)).alias("xml"))
 
 
 def parse_datasets(fragments: DataFrame) -> DataFrame:
-    """Fields of every dataset; loose ampersands are repaired, what still is no XML has ``d.malformed``."""
-    clean = repair_xml(drop_prefixes(escape_descriptions(F.col("xml"))))
+    """Fields of every dataset; loose ampersands are repaired, what still is no XML has ``d.malformed``.
+
+    The parser itself overlooks prefixes.  Only what it rejects is rewritten by
+    expressions, control characters included, and tried again.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
-    return fragments.withColumn("d", F.from_xml(clean, DATASET_SCHEMA, options)).drop("xml")
+    # Once each: a filter on the outcome would otherwise parse again.
+    safe = computed(computed(fragments, {"__xml": escape_descriptions(F.col("xml"))}), {"__safe": escape_ampersands(F.col("__xml"))})
+    read = computed(safe, {"__d": F.from_xml("__safe", DATASET_SCHEMA, {**options, "ignoreNamespace": "true"})})
+    again = F.from_xml(F.when(F.col("__d.malformed").isNotNull(), repair_xml(drop_prefixes(F.col("__xml")))), DATASET_SCHEMA, options)
+    tried = computed(read, {"d": F.when(F.col("__d.malformed").isNull(), F.col("__d")).otherwise(again)})
+    return tried.drop("xml", "__xml", "__safe", "__d")
 
 
 def rejected_datasets(parsed: DataFrame) -> DataFrame:

@@ -207,3 +207,14 @@ def test_catalogue_repairs_and_rejects(spark, tmp_path):
 ])
 def test_prefixes_go_from_names_only(spark, xml, plain):
     assert spark.range(1).select(catalog_xml.drop_prefixes(F.lit(xml)).alias("x")).first().x == plain
+
+
+def test_datasets_are_parsed_once_and_rejects_again(spark):
+    body = '<dcat:Dataset rdf:about="u"><dct:title xml:lang="es" lang="es">A & B{}</dct:title>{}</dcat:Dataset>'
+    rows = [("s", 0, body.format("", "")), ("s", 1, body.format("\x01", "").replace(' lang="es"', "")), ("s", 2, body.format("", "</dct:lost>"))]
+    parsed = catalog_xml.parse_datasets(spark.createDataFrame(rows, "source string, dataset_index int, xml string"))
+    read = catalog_xml.catalog_datasets(parsed)
+    assert [(r.dataset_index, r.title) for r in read.orderBy("dataset_index").collect()] == [(0, "A & B"), (1, "A & B")]
+    assert [r.dataset_index for r in catalog_xml.rejected_datasets(parsed).collect()] == [2]
+    filters = [line for line in read._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("from_xml" in line for line in filters)
