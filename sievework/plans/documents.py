@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework import dims
@@ -22,7 +22,7 @@ from sievework.operators import defects as DF
 from sievework.operators import documents as DO
 from sievework.plans import star
 from sievework.plans.star import STAR_SQL, table
-from sievework.session import checkpoint_dir
+from sievework.session import checkpoint_dir, written_table
 from sievework.sources import reports as RP
 from sievework.streaming import arrivals
 
@@ -439,23 +439,32 @@ def csv_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nested_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File results in report shape; issues per file are bounded by the code vocabulary."""
+    """File results in report shape; issues per file are bounded by the code vocabulary.
+
+    Files meet their issues once, in a narrow table in the shared folder; the report's shape is put on as it is read.
+    """
     none = F.lit(None)
-    issue = F.struct(
-        "code", F.lit("").alias("label"), "severity", "count",
-        F.when(F.col("code").isin(*dims.HIGH_IMPACT_CODES), F.col("count")).otherwise(0).cast("bigint").alias("stored"),
-        none.cast("string").alias("source"),
-        F.when(F.col("code").isin(*dims.HIGH_IMPACT_CODES), F.array(F.struct(
-            none.cast("string").alias("sheet"), F.lit(1).alias("col"), F.lit("c").alias("field"),
-            F.array(F.col("count")).alias("rows"), none.cast("array<string>").alias("cells")))).alias("columns"),
-        none.cast("array<bigint>").alias("rows"),
-        none.cast("array<struct<row: bigint, field: string, cell: string>>").alias("samples"))
+
+    def issue(found: Column) -> Column:
+        located = found["code"].isin(*dims.HIGH_IMPACT_CODES)
+        return F.struct(
+            found["code"].alias("code"), F.lit("").alias("label"), found["severity"].alias("severity"), found["count"].alias("count"),
+            F.when(located, found["count"]).otherwise(0).cast("bigint").alias("stored"),
+            none.cast("string").alias("source"),
+            F.when(located, F.array(F.struct(
+                none.cast("string").alias("sheet"), F.lit(1).alias("col"), F.lit("c").alias("field"),
+                F.array(found["count"]).alias("rows"), none.cast("array<string>").alias("cells")))).alias("columns"),
+            none.cast("array<bigint>").alias("rows"),
+            none.cast("array<struct<row: bigint, field: string, cell: string>>").alias("samples"))
+
+    # A code stands once in a file, so the order of the structs is that of the codes.
     per_file = star.content_issues(spark, sf_dir).groupBy("file_id").agg(
-        F.array_sort(F.collect_list(issue), lambda a, b: F.when(a["code"] < b["code"], -1).otherwise(1)).alias("issues"))
-    files = star.raw_files(spark, sf_dir)
+        F.sort_array(F.collect_list(F.struct("code", "severity", "count"))).alias("found"))
+    met = written_table(star.raw_files(spark, sf_dir).join(per_file, "file_id", "left"), "results")
+    files = met.withColumn("issues", F.transform("found", issue))
     url = F.concat("url", F.lit("?"), F.col("file_id").cast("string"))
     profile = "array<struct<name: string, type: string, null_count: bigint, null_pct: double, distinct: bigint>>"
-    return files.join(per_file, "file_id", "left").select(
+    return files.select(
         F.col("dataset_id").cast("string").alias("dataset_id"), F.lit(0).alias("idx"), "format", F.lit("").alias("mime"),
         url.alias("url"), F.lit("ok").alias("status"),
         F.struct(F.col("fetch_status").alias("status"), F.col("size_bytes").alias("size"), "http_status",

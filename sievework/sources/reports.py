@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,10 @@ RESULT_SCHEMA = """
     sample_rows: ARRAY<ARRAY<STRING>>, header: ARRAY<STRING>>
 """
 
+#: Results in one file of a checkpoint.
+RESULTS_PER_FILE = 200_000
+
+
 def _as_struct(ddl: str) -> str:
     """Top-level ``name TYPE`` list as the fields of a STRUCT."""
     out, depth, token = [], 0, ""
@@ -87,16 +91,16 @@ def to_detail(results: DataFrame) -> DataFrame:
         a["schema"].alias("schema"), a["sample_rows"].alias("sample_rows"))
 
 
-def write_report(results: DataFrame, path: str, files_per_prefix: int = 16) -> None:
+def write_report(results: DataFrame, path: str) -> None:
     """Write index and detail; the previous report at the path is replaced.
 
     Details are dealt by prefix first, so that not every task writes a file for
-    each prefix; a prefix is spread over ``files_per_prefix`` files at most.
+    each prefix; AQE cuts up prefixes too large for one task, so small reports
+    are one file a prefix and large ones as many as their size asks for.
     """
     to_index(results).write.mode("overwrite").parquet(f"{path}/index")
     detail = to_detail(results).withColumn("prefix", F.substring("id", 1, 2))
-    share = F.pmod(F.xxhash64("id"), F.lit(files_per_prefix))
-    detail.repartition("prefix", share).write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/detail")
+    detail.hint("rebalance", "prefix").write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/detail")
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
@@ -129,8 +133,10 @@ def rebuild(index: DataFrame, details: DataFrame) -> DataFrame:
     A missing fragment is tolerated.  Ids repeat only where files share an
     address, and the fragment they share is one row.
     """
-    one = details.select("id", F.col("issues").alias("__i"), F.col("schema").alias("__s"),
-                         F.col("sample_rows").alias("__r")).dropDuplicates(["id"])
+    # One row of each id by its number: the nested columns are sorted once, by the key of the join.
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    one = details.select("id", F.col("issues").alias("__i"), F.col("schema").alias("__s"), F.col("sample_rows").alias("__r"),
+                         turn.alias("__turn")).filter("__turn = 1").drop("__turn")
     joined = index.join(one, "id", "left")
     located = F.transform("analysis.issues", lambda i: _with_positions(i))
     full = F.col("analysis").withField("issues", located).withField("schema", F.col("__s")).withField(
@@ -154,9 +160,12 @@ def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_checkpoint(results: DataFrame, path: str, skip_urls: DataFrame | None = None) -> None:
-    """All results but those at the skipped addresses, as JSON lines."""
+    """All results but those at the skipped addresses, as compressed JSON lines.
+
+    A compressed file is read by one task, so none holds more than a bounded number of results.
+    """
     kept = results if skip_urls is None else results.join(skip_urls.select("url").distinct(), "url", "left_anti")
-    kept.select("url", "result").write.mode("overwrite").json(path)
+    kept.select("url", "result").write.mode("overwrite").option("maxRecordsPerFile", RESULTS_PER_FILE).json(path, compression="gzip")
 
 
 def csv_lines(df: DataFrame, header: list[str], columns: list[Column], delimiter: str = ";") -> DataFrame:

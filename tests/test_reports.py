@@ -137,3 +137,18 @@ def test_empty_export_has_its_header(spark, tmp_path):
     RP.export_csv(spark.createDataFrame([], "a string, b int"), str(tmp_path / "out"))
     data = b"".join(open(p, "rb").read() for p in glob.glob(str(tmp_path / "out" / "part-*")))
     assert data == "﻿a;b\r\n".encode("utf-8")
+
+
+def test_checkpoint_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(RP, "RESULTS_PER_FILE", 10)
+    done = spark.range(35).coalesce(1).selectExpr("cast(id as string) as url", "struct('CSV' as format) as result")
+    RP.write_checkpoint(done, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("*.json.gz"))) == 4
+    assert RP.read_checkpoint(spark, str(tmp_path / "out")).count() == 35
+
+
+def test_files_meet_their_issues_once(spark):
+    from sievework.plans import documents
+
+    plan = documents.nested_results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
