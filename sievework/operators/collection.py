@@ -27,6 +27,7 @@ from sievework.functions.encoding import decode_text
 from sievework.functions.json_text import computed
 from sievework.operators import defects as DF
 from sievework.operators import documents as DO
+from sievework.operators.groups import spread
 from sievework.session import written_table
 from sievework.sources.delimited import guess_delimiter, split_cells
 
@@ -178,7 +179,7 @@ def audit_collection(files: DataFrame, members: DataFrame | None = None, cells:
     field, raw) the data cells of workbooks.  An empty file and a format nobody
     answers for are not measured; null content neither.
     """
-    first = written_table(route(files, audits).select(
+    first = written_table(route(spread(files.select("file_id", "format", "content")), audits).select(
         "file_id", "format", "verdict", F.when(F.col("format").isin(*DELIMITED, "JSON"), F.col("text")).alias("text")), "collection")
     rows, headers = table_rows(first)
     rows = written_table(rows, "collection-rows")

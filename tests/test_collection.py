@@ -101,3 +101,11 @@ def test_profiles_reach_to_the_widest_row(spark):
     got = {p.name: (p.type, p.null_count, p["distinct"]) for p in audit["profiles"].collect()}
     assert set(got) == {"a", "b", "Col 3"} and got["Col 3"][1:] == (1, 1)
     assert {f.code for f in audit["findings"].collect()} == {"celda-extra", "celda-faltante"}
+
+
+def test_files_are_dealt_over_the_cluster(spark, monkeypatch):
+    files = spark.createDataFrame([("t", "TXT", bytearray(b"x"))], "file_id string, format string, content binary")
+    seen, whole = [], CO.route
+    monkeypatch.setattr(CO, "route", lambda dealt, audits: seen.append(dealt) or whole(dealt, audits))
+    assert CO.audit_collection(files).count() == 1
+    assert "RebalancePartitions" in seen[0]._jdf.queryExecution().analyzed().toString()
