@@ -147,8 +147,14 @@ def test_checkpoint_files_are_compressed_and_bounded(spark, tmp_path, monkeypatc
     assert RP.read_checkpoint(spark, str(tmp_path / "out")).count() == 35
 
 
-def test_files_meet_their_issues_once(spark):
+def test_files_meet_their_issues_once(spark, tmp_path):
     from sievework.plans import documents
 
-    plan = documents.nested_results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    spark.sql("select cast(1 as bigint) as o_orderkey, cast(2 as bigint) as o_custkey, 3.5D as o_totalprice").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    spark.sql("select cast(1 as bigint) as l_orderkey, cast(0 as bigint) as l_partkey, 4.0D as l_quantity").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    met = documents.nested_results(spark, str(tmp_path))
+    assert [i.code for i in met.first().analysis.issues] == ["error-tipo"]
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
