@@ -399,3 +399,17 @@ def test_small_rows_are_dealt_to_tasks(spark):
     assert len({r.task for r in dealt(spark.range(0, 5, 1, 1)).selectExpr("spark_partition_id() as task").collect()}) == 5
     assert dealt(spark.range(9), most=2).rdd.getNumPartitions() == 2
     assert dealt(spark.range(0)).count() == 0
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    """Few texts for many new words, also where a word holds what stands between them, and the library's ids."""
+    texts = [" ".join(f"{a}{b}{c}" for a in "abc" for b in "xyz" for c in "klm"), "§ € a€b = x\n€ y", "nul\0 byte　wide"]
+    for path, end in ((BYTES, 2), (WORDS, 1)):
+        plain, encoder, given = Tokenizer.from_file(path), tokens.IdEncoder(path, end), []
+        plain.encode_special_tokens = True
+        whole = encoder._whole
+        monkeypatch.setattr(encoder, "_whole", lambda some: given.extend(some) or whole(some))
+        for some in (texts[:1], texts):
+            want = [[*plain.encode(t, add_special_tokens=False).ids, end] for t in some]
+            assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(some)] == want
+            assert some is texts or len(given) <= 2
