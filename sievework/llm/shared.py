@@ -41,6 +41,16 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def keep_batches_small(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of about ``size`` from here on, results that run later included; a size given on purpose stays.
+
+    Ten thousand rows of whole texts are held several times over otherwise, and a worker that once held them does not shrink.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, size)
+
+
 def dealt(rows: DataFrame, most: int = 100_000) -> DataFrame:
     """Few small rows that each stand for much work (files, byte ranges), dealt in turn to as many tasks as rows.
 
