@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievework.llm import embeddings, files, idfile, language, mixture, multiset, packing, quality, repeats, simhash, tokens, warc
@@ -207,6 +208,21 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_deal_few_blocks_to_several_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(2500, 12))
+    vectors = np.concatenate([base, base[:1500] + rng.normal(0, .1, (1500, 12))]).astype(np.float32)
+    schema, kept = "vec_id bigint, embedding array<float>", {}
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], schema)
+    monkeypatch.setattr(embeddings, "written", lambda df, name, write=embeddings.written: kept.setdefault(name, write(df, name)))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()}
+    unit = vectors.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert got == dict(enumerate(((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()))
+    tiles = kept["tiles"][0]
+    assert tiles.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_embeddings_of_extreme_size(spark):
     rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1.0, 0.0]), (4, [1e300, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, -1e308])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(
