@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sievework.functions.encoding import decode_text
+from sievework.functions.json_text import computed
 from sievework.operators import collection as CO
 from sievework.operators import defects as DF
 from sievework.sources.delimited import guess_delimiter
@@ -69,6 +70,17 @@ def test_later_audits_answer_for_their_formats(spark):
     assert CO.audit_collection(files.limit(0)).count() == 0
 
 
+def test_files_meet_the_audits_of_their_format_only(spark):
+    def picky(files):
+        checked = computed(files, {"mine": F.when(F.col("format") == "DWG", True).otherwise(F.raise_error(F.lit("another format")).cast("boolean"))})
+        return checked.withColumn("found", CO._verdict(F.when(F.col("mine"), 7), CO._codes(F.lit("propio"))))
+
+    files = spark.createDataFrame([*FILES, ("none", None, b"x")], "file_id string, format string, content binary")
+    got = {r.file_id: (r.score, r.codes) for r in CO.audit_collection(files, audits=(*CO.AUDITS, CO.Audit(("DWG",), picky))).collect()}
+    assert len(got) == len(FILES) + 1
+    assert got["unknown"] == (7, ["propio"]) and got["ical"] == (100, []) and got["none"] == (None, [])
+
+
 def test_row_verdicts_need_no_exchange(spark):
     files = spark.createDataFrame(FILES, "file_id string, format string, content binary")
     plan = CO.route(files)._jdf.queryExecution().executedPlan().toString()
