@@ -409,10 +409,10 @@ def read_delimited(
 
 def read_records(spark: SparkSession, path: str | list[str], sep: str = ";") -> DataFrame:
     """(file_id, row_no, tokens) of files without a header; quoted cells may span lines."""
-    lines = raw_lines(spark, path)
-    splits = split_table(lines).drop("n", "utf8", "first_line").withColumns({
-        "sheet": F.lit(""), "header": F.array().cast("array<string>"), "sep": F.lit(sep), "encoding": F.lit("utf-8")})
-    records = join_quoted_lines(place_lines(lines, splits))
+    from sievework.sources.records import joined_in_scan  # the one reader that needs Arrow
+
+    after0, after1 = _quote_transition(F.col("value"), F.lit(sep))
+    records = joined_in_scan(raw_lines(spark, path).withColumns({"a0": after0, "a1": after1}))
     return records.select("file_id", "row_no", split_cells(F.col("value"), sep).alias("tokens"))
 
 

@@ -217,6 +217,37 @@ def test_quoted_records_of_any_number_of_lines(spark, tmp_path):
     assert got[0][2] == len(long) and got[2][2] == len("two\nlines")
 
 
+@pytest.mark.parametrize("size", [None, "97", "700"])
+def test_records_joined_in_the_scan(spark, tmp_path, size):
+    rnd = random.Random(8)
+    cells = ['a', '', '"q"', '"x;y"', '"one\ntwo"', '"a""\n\n""b;"', '5" pipe', '"t"ail', '"\n"', 'z"z', '""', '"' + "l\n" * 90 + '"']
+    want = {}
+    for name in ("a b.csv", "b.csv", "c.csv"):
+        text = "".join(";".join(rnd.choice(cells) for _ in range(3)) + "\n" for _ in range(150))
+        want[name] = {row: [tokens] for row, tokens in records_of(text)}
+        if name == "b.csv":  # never closed: its lines stay rows of their own
+            last = text.count("\n")
+            text += 'k;"open\n' + "on;and on\n" * 40
+            want[name] |= {last + 1: [["k", '"open']]} | {last + 2 + i: [["on", "and on"]] for i in range(40)}
+        write(tmp_path, name, text)
+    write(tmp_path, "d.csv", "\n".join(["p;q"] * 30))
+    want["d.csv"] = {i + 1: [["p", "q"]] for i in range(30)}
+    if size:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records, got = DL.read_records(spark, str(tmp_path)), {}
+        for r in records.collect():
+            got.setdefault(DL.unquote(r.file_id).rsplit("/", 1)[1], {}).setdefault(r.row_no, []).append(r.tokens)
+        if not size:  # no record is cut by a split: nothing travels
+            assert "Exchange" not in records._jdf.queryExecution().executedPlan().toString()
+    finally:
+        if size:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == want
+
+
 # In UTF-16 and UTF-32 the bytes of some neighbours look like a line feed across two units.
 TRICKY = "\u0a85\u0100 \u0100\u0a00\u0a0a\u0a00 \U0001f600 ñ"
 
